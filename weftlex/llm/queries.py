@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, pii, tiling
+from . import bpe, jaccard_join, line_rules, pii, sharding, tiling
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@_query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_line_rules"] = line_rules.SQL
