@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, line_rules, pii, sharding, tiling
+from . import bpe, jaccard_join, line_rules, pii, secrets, sharding, tiling
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_line_rules"] = line_rules.SQL
+
+
+@_query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+SQL["op4_secrets"] = secrets.sql()
