@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, line_rules, pii, secrets, sharding, tiling
+from . import bpe, jaccard_join, licences, line_rules, pii, secrets, sharding, tiling
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op4_secrets"] = secrets.sql()
+
+
+@_query
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op3_licences"] = licences.sql()
