@@ -1 +1,4 @@
 """Named queries over the test tables, with their SQL."""
+
+from . import corpus, dictionary, formats, surface, vectors  # noqa: F401
+from .catalog import QUERIES, SQL  # noqa: F401
