@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Fragments that a worker keeps, and the longest that it keeps (characters).
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 50_000
 CACHE_CHARS = 48
 
 #: Fixed value: the pieces of a byte-level pre-tokenizer, within which merges are made.
@@ -143,6 +145,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
     path = vocabulary or default_vocabulary()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
@@ -171,6 +174,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
     """(id_col, text) from arrays of ids; null ids give a null text, bytes that are no UTF-8 give U+FFFD."""
     path = vocabulary or default_vocabulary()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codec(path).bytes_of
         for batch in batches:

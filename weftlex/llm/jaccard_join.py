@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import components, small_side, staged
+from .common import components, lean, small_side, staged
 
 #: Documents on either side of a compared block.
 BLOCK_DOCS = 256
@@ -41,6 +41,7 @@ def _needed(n: np.ndarray | int, percent: int):
 def _reader(width: int, percent: int, slack: int, full: bool):
     """mapInArrow: (id, text) to (id, n, sig, toks, need); toks: the whole set, or its prefix in hash order."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone")
 #: Labelled samples generated for each kind's model; a third of them calibrates.
@@ -291,6 +293,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     other columns are not read; an empty table gives no rows.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
@@ -314,6 +317,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = docs.schema
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import small_side
+from .common import lean, small_side
 
 #: Labelled and unlabelled documents used for training: the first of each by a hash of the id.
 LABELLED, POOL = 6000, 4000
@@ -168,6 +168,7 @@ def _inputs(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def _sample_features(rows: DataFrame) -> pd.DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, m = view_features(batch)
@@ -209,6 +210,7 @@ def score(docs: DataFrame, models: Models | None, id_col: str = "doc_id", thresh
     empty.  Repeated rows score alike.  An empty table gives no rows.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
@@ -238,6 +240,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", thresh
     at = [names.index(c) if c in names else None for c in _COLUMNS]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):

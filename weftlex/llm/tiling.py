@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_side, staged
+
 from . import wordhash
 
 #: Bytes of item text that are compared in one pass over the documents.
@@ -73,6 +75,7 @@ def _matcher(items: list[tuple[int, str]], min_match: int, percent: int):
     flat, owner = flat[by], owner[by]
     bits = 22
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = np.zeros(1 << bits, bool)
         sieve[flat >> np.uint64(64 - bits)] = True
@@ -131,7 +134,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` that cover no item (columns unchanged); a row with a null id stays."""
-    from .common import small_side, staged
-
     hit = staged(contaminated(docs, benchmark, id_col, text_col, **kw).select(id_col).distinct(), "contaminated")
     return docs.join(small_side(hit), id_col, "left_anti").select(*docs.columns)
