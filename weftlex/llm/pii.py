@@ -82,12 +82,12 @@ re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z
         re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}", re.I),
         re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64} @ [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}"),
     ),
-    "ip": (re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::|[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])"), re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}|\(\.\)[0-9]{1,3}| \. [0-9]{1,3}){3}(?![0-9])")),
+    "ip": (re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::[0-9A-Fa-f]{1,4}|:|[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])"), re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}|\(\.\)[0-9]{1,3}| \. [0-9]{1,3}){3}(?![0-9])")),
     "card": (re.compile(r"(?<![0-9])[0-9]{4}(?:[._/ -]{1,2}[0-9]{4}){3}(?![0-9])"),),
     "phone": (
         re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9])"),
         re.compile(r"(?<![0-9])00[1-9][0-9]{0,2}[ ./-]?[0-9()]{2,5}(?:[ ./-]?[0-9]{2,4}){2,4}(?![0-9])"),
-        re.compile(r"(?<![0-9.,$#/-])[0-9]{10,11}(?![0-9.,/-])"),
+        re.compile(r"(?<![0-9.,$#/-])[0-9]{10,11}(?![0-9]|[.,/-][0-9])"),
     ),
 }
 #: A text without the hint cannot hold a candidate of the kind.
