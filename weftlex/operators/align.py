@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +38,56 @@ def word_spans(text: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def aligned(docs: DataFrame, id_col: str, text: str = "text", tokens: Column | None = None) -> DataFrame:
-    """(id, ordinal, surface, start, end, positions): the tokens that overlap each word.
+Encode = Callable[[str], list[tuple[int, int, int]]]
+
+
+def encode_chars(text: str) -> list[tuple[int, int, int]]:
+    """(id, start, end) of the character tokenizer: each non-space character by itself."""
+    return [(ord(ch), i, i + 1) for i, ch in enumerate(text) if not ch.isspace()]
+
+
+def aligned(docs: DataFrame, id_col: str, text: str = "text", encode: Encode = encode_chars) -> DataFrame:
+    """(id, ordinal, surface, start, end, positions, token_ids, relative_offsets) for each word of each text.
 
-    Both sides are arrays of one row, so the overlap join stays in the row: no
-    shuffle, and no product of all tokens with all words leaves it.
+    ``encode`` gives the tokens of a whole text in order, with character
+    offsets.  Words and tokens are both in order, so one pass over the two finds
+    the overlaps; nothing is shuffled.  A word that no token overlaps raises; a
+    null text has no words.
     """
-    tokens = char_tokens(F.col(text)) if tokens is None else tokens
-    df = docs.select(id_col, tokens.alias("_t"), word_spans(F.col(text)).alias("_w"))
-    hit = F.transform("_w", lambda w: F.struct(w["ordinal"].alias("ordinal"), w["surface"].alias("surface"), w["start"].alias("start"), w["end"].alias("end"), F.transform(F.filter("_t", lambda t: (t["end"] > w["start"]) & (t["start"] < w["end"])), lambda t: t["pos"]).alias("positions")))
-    return df.select(id_col, F.explode(hit).alias("x")).select(id_col, "x.*")
+    kind = docs.schema[id_col].dataType
+    pattern = T.WORD.replace("\\x{2011}", "\u2011")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        word = regex.compile(pattern)
+        schema = None
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for key, cell in zip(batch.column(0), batch.column(1), strict=True):
+                value = cell.as_py() or ""
+                tokens, lo = encode(value), 0
+                for ordinal, m in enumerate(word.finditer(value)):
+                    a, b = m.span()
+                    while lo < len(tokens) and tokens[lo][2] <= a:
+                        lo += 1
+                    hi = lo
+                    while hi < len(tokens) and tokens[hi][1] < b:
+                        hi += 1
+                    if hi == lo:
+                        raise ValueError(f"no token overlaps {m[0]!r} at {a}:{b}")
+                    own = tokens[lo:hi]
+                    for k, x in enumerate((key.as_py(), ordinal, m[0], a, b, list(range(lo, hi)), [t[0] for t in own], [[t[1] - a, t[2] - a] for t in own])):
+                        out[k].append(x)
+            types = [batch.column(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+            schema = schema or pa.schema(list(zip([id_col, *_ALIGNED], types, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], schema=schema)
+
+    shape = f"`{id_col}` {kind.simpleString()}, ordinal int, surface string, start int, end int, positions array<int>, token_ids array<bigint>, relative_offsets array<array<int>>"
+    return docs.select(id_col, F.col(text).cast("string").alias("text")).mapInArrow(run, shape)
+
+
+_ALIGNED = ("ordinal", "surface", "start", "end", "positions", "token_ids", "relative_offsets")
 
 
 def overlap_join(tokens: DataFrame, words: DataFrame, key: str, width: int = 256) -> DataFrame:

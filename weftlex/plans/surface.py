@@ -201,7 +201,7 @@ SELECT word_id, unnest(['after_space', 'observed', 'standalone']) AS context_kin
 )
 def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = A.word_units(_occurrences(spark, sf_dir))
-    seen = A.aligned(_conversations(spark, sf_dir), "k").select("surface", F.transform(F.split("surface", ""), lambda c: F.ascii(c).cast("long")).alias("token_ids"), F.transform("positions", lambda p: F.array(p - F.array_min("positions"), p - F.array_min("positions") + 1)).alias("relative_offsets"))
+    seen = A.aligned(_conversations(spark, sf_dir), "k").select("surface", "token_ids", "relative_offsets")
     return A.word_forms(units, seen).groupBy("word_id", "context_kind").agg(F.max(F.size("token_ids")).cast("long").alias("n_tokens"), F.count("*").alias("forms"))
 
 
