@@ -45,6 +45,10 @@ def expert_geometry(spark: SparkSession, memory: int, fixed_compute: int, width:
 
 def latency(samples: DataFrame, value: str) -> DataFrame:
     """One row (median, p95) by position in the sorted samples; no interpolation at p95, mean of the middle two at the median."""
-    df = samples.agg(F.sort_array(F.collect_list(value)).alias("s"))  # a benchmark's own samples: bounded by its runs
-    n = F.size("s")
-    return df.select(((F.get("s", ((n - 1) / 2).cast("int")) + F.get("s", (n / 2).cast("int"))) / 2).alias("median"), F.get("s", (F.lit(0.95) * (n - 1)).cast("int")).alias("p95"))
+    from .dictionary import numbered
+
+    ranked = numbered(samples.select(F.col(value).alias("x"), F.monotonically_increasing_id().alias("id")), ["x", "id"], "at")
+    n = samples.agg(F.count(value).alias("n"))
+    at = ranked.join(F.broadcast(n), F.lit(True))
+    pick = lambda p: F.max(F.when(F.col("at") == F.floor(p), F.col("x")))
+    return at.agg(((pick((F.col("n") - 1) / 2) + pick(F.col("n") / 2)) / 2).alias("median"), pick(F.lit(0.95) * (F.col("n") - 1)).alias("p95"))
