@@ -85,19 +85,19 @@ def trained(train: int = TRAIN, held: int = HELD) -> tuple[tuple[int, ...], int]
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """All leftmost non-overlapping matches as (start, end, rank of kind, kind, matched text), by position.
+    """All leftmost non-overlapping matches as (start, rank of kind, end, kind, matched text), by position.
 
     The texts between matches (split) and the matches (extract all) alternate,
     so running lengths give the positions in code points.
     """
     gaps, hits = F.transform(F.split(text, pattern, -1), F.length), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    empty = F.array().cast("array<struct<s:int,e:int,k:int,kind:string,h:string>>")
+    empty = F.array().cast("array<struct<s:int,k:int,e:int,kind:string,h:string>>")
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["g"]
         end = start + F.length(p["h"])
-        one = F.array(F.struct(start.alias("s"), end.alias("e"), F.lit(KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), p["h"].alias("h")))
+        one = F.array(F.struct(start.alias("s"), F.lit(KINDS.index(kind)).alias("k"), end.alias("e"), F.lit(kind).alias("kind"), p["h"].alias("h")))
         return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
 
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
@@ -170,7 +170,7 @@ def sql() -> str:
 {name}_s AS (SELECT r, h, {KINDS.index(kind)} AS k, '{kind}' AS kind, sum(g + length(h)) OVER w - length(h) AS s, sum(g + length(h)) OVER w AS e FROM {name}_g WINDOW w AS (PARTITION BY r ORDER BY i)),
 {name} AS (SELECT * FROM {name}_s WHERE {where})"""
 
-    listed = "string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, e, k)"
+    listed = "string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k, e)"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),{spans("a", ASSIGN, "assign", f"length(regexp_extract(h, {q(ASSIGN)}, 1)) >= 8")},{spans("b", ACCESS, "access", "true")},{spans("c", HEX, "hex", "true")},{spans("m", CANDIDATE, "markov", "regexp_matches(h, '[0-9]') AND regexp_matches(h, '[A-Za-z]')")},
 base AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c),
