@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Largest count of narrow rows that is broadcast.
+BROADCAST_ROWS = 500_000
 #: Rows of a source that share one prefix-sum partition.
 PREFIX_ROWS = 1_000_000
 
@@ -32,13 +34,18 @@ def with_digest(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The rows that come first in ``order`` for their keys.
+    """The rows that come first in ``order`` for their keys; order columns are not null.
 
-    A grouped minimum and a join on the order columns: nothing is sorted, and
-    a hot key meets its minimum in partial sums.
+    Only keys and order columns are shuffled to find the rows that come later.
+    If these are few, counted, they are broadcast and the wide rows stay where
+    they are; else the wide rows are shuffled once.  Nothing is sorted by text,
+    and a hot key meets its minimum in partial sums.
     """
-    firsts = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
-    return df.join(firsts, order, "left_semi")
+    narrow = df.select(*keys, F.struct(*order).alias("_o"))
+    firsts = narrow.groupBy(*keys).agg(F.min("_o").alias("_first"))
+    later = narrow.join(firsts, keys).where(F.col("_o") != F.col("_first")).select("_o.*").persist()
+    later = F.broadcast(later) if later.count() <= BROADCAST_ROWS else later
+    return df.join(later, order, "left_anti")
 
 
 def dedup(df: DataFrame, order: list[str] | None = None) -> DataFrame:
