@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Largest row count of two or three narrow columns that is broadcast (about 16 MB).
 BROADCAST_ROWS = 500_000
+#: Rows and bytes of an Arrow batch that goes to a Python worker; a longer text is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 #: Input below this many bytes, in fewer files than there are cores, is dealt out to all of them.
@@ -78,6 +80,15 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def arrow_rows(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches made small: a batch lies in the JVM, beside it and in the worker at once."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Give a task's memory back to the system when it ends; idle workers live on beside the next stage."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import components, lean, small_side, staged
+from .common import arrow_rows, components, lean, small_side, staged
 
 #: Documents on either side of a compared block.
 BLOCK_DOCS = 256
@@ -52,7 +52,7 @@ def _reader(width: int, percent: int, slack: int, full: bool):
                 keep = found if full else found[: n - _needed(n, percent) + max(1, n * slack // 100)] if n else found
                 held.append((row, n, sig, keep))
                 total += len(keep)
-                if total >= 1 << 20:
+                if total >= 1 << 18:
                     yield _pack(ids, held)
                     held, total = [], 0
             if held:
@@ -117,7 +117,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest and its component_id is that of its text's class (null if alone).
     Other columns of ``docs`` are not read.  An empty table gives no rows.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = arrow_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = staged(source.mapInArrow(_reader(width, percent, slack, False), _SCHEMA), "sets")
 
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.min_by(F.struct("toks", "need"), "id").alias("own"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import arrow_rows, lean
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -309,7 +309,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()], strict=True))], names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     schema = "id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return arrow_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -332,4 +332,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return arrow_rows(docs).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import lean, small_side
+from .common import arrow_rows, lean, small_side
 
 #: Labelled and unlabelled documents used for training: the first of each by a hash of the id.
 LABELLED, POOL = 6000, 4000
@@ -164,7 +164,7 @@ _COLUMNS = {"text": "string", "lang": "string", "source": "string", "n_chars": "
 
 def _inputs(docs: DataFrame, id_col: str) -> DataFrame:
     """The columns that the views read; an absent one counts as null."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), *((F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in _COLUMNS.items()))
+    return arrow_rows(docs).select(F.col(id_col).cast("long").alias("id"), *((F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in _COLUMNS.items()))
 
 
 def _sample_features(rows: DataFrame) -> pd.DataFrame:
@@ -249,4 +249,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", thresh
                 rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), *cols], names=["id", *_COLUMNS])
                 yield batch.filter(pa.array(combined(models, view_features(rows))[2] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_rows(docs).mapInArrow(run, docs.schema)

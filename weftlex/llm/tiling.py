@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small_side, staged
+from .common import arrow_rows, lean, small_side, staged
 
 from . import wordhash
 
@@ -120,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     documents, so no size of benchmark is broadcast at once.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    source = arrow_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("k"), F.lower(F.col(item_text).cast("string")).alias("text")).where("k IS NOT NULL AND text IS NOT NULL")
     blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_TEXT) + 1
     schema, parts = "id long, item_id long, covered long, item_tokens long, tiles long", []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small_side, staged
+from .common import arrow_rows, scratch, small_side, staged
 
 #: Bytes of a record's block beyond which it is segmented, and of a chunk of the transfer coding.
 SEGMENT_BYTES, CHUNK_BYTES = 48 << 10, 16 << 10
@@ -110,7 +110,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     repeated under one id the readers keep one.  Other columns are not read.  An
     empty table gives an archive without records.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("body")).where("id IS NOT NULL")
+    rows = arrow_rows(pages).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("body")).where("id IS NOT NULL")
     keys = staged(rows.select("id", F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("n")), "payloads")
     kept = keys.where(F.col("n") >= revisit_bytes).groupBy("sha1").agg(F.max("id").alias("origin"), F.count("*").alias("k")).where("k > 1").select("sha1", "origin")
     refers = keys.where(F.col("n") >= revisit_bytes).join(small_side(kept), "sha1").where("id <> origin").select("id", "origin").distinct()
@@ -124,7 +124,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                 for r in records(key.as_py(), url.as_py(), data, origin.as_py(), hashlib.sha1(data).hexdigest()):
                     held.append(r[:-1])
                     size += len(r)
-                    if size > 1 << 22:
+                    if size > 1 << 21:
                         yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
                         held, size = [], 0
             if held:
@@ -184,7 +184,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for fields, block in parse(content.as_py()):
                     held.append(_row(fields, block))
                     size += len(held[-1][7] or b"")
-                    if size > 1 << 22 or len(held) >= 5000:
+                    if size > 1 << 21 or len(held) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
                         held, size = [], 0
                 if held:
