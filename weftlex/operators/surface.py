@@ -115,7 +115,7 @@ def positions(docs: DataFrame, id_col: str, segments: Column) -> DataFrame:
     return df.select(id_col, "segment", F.explode(runs).alias("r")).select(id_col, "segment", "r.*")
 
 
-def resolve(found: DataFrame, addresses: DataFrame, id_col: str, fold: bool = False) -> DataFrame:
+def resolve(found: DataFrame, addresses: DataFrame, id_col: str) -> DataFrame:
     """(id, segment, p, word, word_order, row_index, surface_text): the longest phrase that ends at each word.
 
     Order three wins over two over one; a dictionary hit has no row of its own
@@ -126,7 +126,10 @@ def resolve(found: DataFrame, addresses: DataFrame, id_col: str, fold: bool = Fa
     by3 = best.where("word_order = 3").select(F.col("words").alias("w3"), F.struct("row_index", "surface_text").alias("m3"))
     by2 = best.where("word_order = 2").select(F.col("words").alias("w2"), F.struct("row_index", "surface_text").alias("m2"))
     by1 = addresses.where("word_order = 1").select(F.get("words", F.lit(0)).alias("word")).distinct().withColumn("m1", F.lit(True))
-    out = found.join(by3, "w3", "left").join(by2, "w2", "left").join(by1, "word", "left")
+    # a position without a run gets a key of its own that no phrase can have, so that nulls do not meet in one task
+    alone = F.array(F.concat(F.lit("\0"), F.hex(F.xxhash64(id_col, "segment", "p"))))
+    keyed = found.withColumns({c: F.coalesce(c, alone) for c in ("w2", "w3")})
+    out = keyed.join(by3, "w3", "left").join(by2, "w2", "left").join(by1, "word", "left")
     order = F.when(F.col("m3").isNotNull(), 3).when(F.col("m2").isNotNull(), 2).when(F.col("m1"), 1)
     hit = F.coalesce("m3", "m2")
     return out.select(id_col, "segment", "p", "word", order.alias("word_order"), hit["row_index"].alias("row_index"), hit["surface_text"].alias("surface_text"))
