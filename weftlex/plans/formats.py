@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..sources import files, lexicons
 from ..streaming import corpus as stream
 from .catalog import literal, query, table
+from .corpus import _sql_ngrams
 
 
 def _folder(spark: SparkSession) -> str:
@@ -97,7 +98,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.agg(F.count("*").alias("documents"), F.sum("doc_id").alias("ids"))
 
 
-@query()
+@query(f"SELECT text, count(*) AS frequency FROM ({_sql_ngrams(2)}) GROUP BY text")
 def stream_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     docs = stream.document_stream(spark, sf_dir, "doc_id bigint, text string", pattern="documents.parquet")
