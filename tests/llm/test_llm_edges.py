@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from weftlex.llm import bpe, jaccard_join, licences, line_rules, pii, quality, secrets, sharding, tiling, warc
+from weftlex.llm import bpe, jaccard_join, licences, line_rules, pii, quality, queries, secrets, sharding, tiling, warc
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta " * 40_000
 
@@ -95,6 +96,27 @@ def test_warc_edges(spark):
     assert got[4].record_type == got[5].record_type == "response"
 
 
+def test_warc_has_a_record_for_each_row(spark, tmp_path):
+    a, b, c = "<p>" + "a" * 120_000, "<p>" + "b" * 120_000, "<p>" + "c" * 90_000
+    rows = [(1, "u", a), (1, "u", b), (1, "v", b), (1, "u", c), (2, "u", a), (3, "u", "x"), (3, "u", "x"), (3, "u", "y"), (4, "u", b), (4, "u", b), (None, "u", a), (None, "u", "lost"), (None, "u", "lost"), (None, "u", c + "c"), (0, "u", c)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op7_warc(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.SQL["op7_warc"])
+    key = lambda r: tuple(map(str, r))
+    assert len(want.fetchall()) == len(rows)
+    assert sorted((tuple(r) for r in got.select(*want.columns).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_warc_payload_digest_is_verified(spark):
+    body = b"x" * 5000
+    rows = [warc._row(f, b) for f, b in warc.parse(b"".join(warc.records(1, "u", body, None, "0" * 40, segment=1000)))]
+    df = spark.createDataFrame([(r[4], r[5], r[6], bytearray(r[7]), r[3]) for r in rows], "origin string, segment int, total long, block binary, digest string")
+    with pytest.raises(Exception, match="stated"):
+        warc.reassembled(df).collect()
+
+
 @pytest.mark.parametrize("run", [pii.find_pii, sharding.shard, licences.scan, secrets.find_secrets, jaccard_join.jaccard_components, line_rules.apply_rules, bpe.encode, pii.redact, jaccard_join.keep_one])
 def test_empty_table(run, docs):
     assert run(docs.limit(0)).count() == 0

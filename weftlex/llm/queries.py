@@ -74,7 +74,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages"), null_ids=True)
 
 
 SQL["op7_warc"] = warc.SQL
