@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
+#: Most distinct forms of requests that are broadcast.
+FORMS = 20_000
+
 
 def cosines(v: Column, anchors: Column) -> Column:
     """Cosine of a vector with each row of an array."""
@@ -49,23 +52,34 @@ def route_experts(experts: DataFrame, requests: DataFrame, limit: int = 8) -> Da
     ``requests(request_id, task_relation, skill_ids, concept_ids)``.  Candidates
     share a skill or a concept; they rank by task match, concepts, skills and
     successes, then by id.  A request with no adjacent expert has no row.
+    Requests that ask for the same are routed once; each task keeps ``limit``
+    experts of such a form before anything is shuffled.
     """
-    edges = lambda df, key, col: df.select(key, F.explode(col).alias("x")).distinct()
-    by_skill = edges(requests, "request_id", "skill_ids").join(edges(experts, "expert_id", "skill_ids"), "x")
-    by_concept = edges(requests, "request_id", "concept_ids").join(edges(experts, "expert_id", "concept_ids"), "x")
-    found = by_skill.select("request_id", "expert_id").unionByName(by_concept.select("request_id", "expert_id")).distinct()
-    full = found.join(experts, "expert_id").join(requests.select("request_id", F.col("task_relation").alias("_t"), F.col("skill_ids").alias("_s"), F.col("concept_ids").alias("_c")), "request_id")
+    tagged = lambda df, c, tag: F.transform(F.coalesce(df[c], F.array().cast(df.schema[c].dataType)), lambda x: F.concat(F.lit(tag), x.cast("string")))
+    known = lambda df: F.sort_array(F.array_union(tagged(df, "skill_ids", "s:"), tagged(df, "concept_ids", "c:")))
+    asked = requests.select("request_id", F.col("task_relation").alias("_t"), *(F.sort_array(F.array_distinct(F.coalesce(c, F.array().cast(requests.schema[c].dataType)))).alias(n) for c, n in (("skill_ids", "_s"), ("concept_ids", "_c"))), known(requests).alias("_k"))
+    forms = asked.select("_t", "_s", "_c", "_k").distinct()
+    few = F.broadcast if forms.count() <= FORMS else lambda df: df
+    edges = few(forms.withColumn("_x", F.explode("_k")))
+    # a narrow expert row meets many forms: as many tasks as there are partitions, however few bytes they have
+    spark = experts.sparkSession
+    dealt = experts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "expert_id")
+    full = dealt.withColumn("_own", known(experts)).withColumn("_x", F.explode("_own")).join(edges, "_x")
+    # a pair meets once for each thing shared; it counts at the least of them
+    full = full.where(F.col("_x") == F.array_min(F.array_intersect("_own", "_k")))
     full = full.select(
-        "request_id",
+        "_t",
+        "_k",
         "expert_id",
-        F.array_sort(F.array_intersect("skill_ids", "_s")).alias("skills"),
-        F.array_sort(F.array_intersect("concept_ids", "_c")).alias("concepts"),
+        F.sort_array(F.array_intersect("skill_ids", "_s")).alias("skills"),
+        F.sort_array(F.array_intersect("concept_ids", "_c")).alias("concepts"),
         F.coalesce(F.col("task_relation") == F.col("_t"), F.lit(False)).alias("task_match"),
         "success_count",
     )
-    score = F.struct((-F.col("task_match").cast("int")).alias("a"), (-F.size("concepts")).alias("b"), (-F.size("skills")).alias("c"), (-F.col("success_count")).alias("d"), "expert_id", "skills", "concepts", "task_match")
-    listed = full.groupBy("request_id").agg(F.slice(F.sort_array(F.collect_list(score)), 1, limit).alias("e"))
-    return listed.select("request_id", F.posexplode("e").alias("rank", "e")).select("request_id", (F.col("rank") + 1).alias("rank"), "e.expert_id", "e.skills", "e.concepts", "e.task_match")
+    best = Window.partitionBy("_t", "_k").orderBy(F.desc("task_match"), F.desc(F.size("concepts")), F.desc(F.size("skills")), F.desc("success_count"), "expert_id")
+    top = full.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    top = top.select(F.col("_t").alias("_t1"), F.col("_k").alias("_k1"), "rank", "expert_id", "skills", "concepts", "task_match")
+    return asked.join(few(top), F.col("_t").eqNullSafe(F.col("_t1")) & (F.col("_k") == F.col("_k1"))).select("request_id", "rank", "expert_id", "skills", "concepts", "task_match")
 
 
 def adjacent_experts(active: DataFrame, adjacency: DataFrame, key: str) -> DataFrame:

@@ -200,11 +200,23 @@ _REQUESTS = "q AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 2 = 0 T
 SELECT request_id, CAST(rank AS INTEGER) AS rank, expert_id, skills, concepts, task_match FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CAST(task_match AS INTEGER) DESC, len(concepts) DESC, len(skills) DESC, success_count DESC, expert_id) AS rank FROM c) WHERE rank <= 8"""
 )
 def expert_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id < 300").groupBy("user_id").agg(F.collect_set((F.col("event_id") % 40).cast("int")).alias("skill_ids"), F.collect_set("event_type").alias("concept_ids"), F.count("*").alias("success_count"))
-    experts = e.select(F.col("user_id").cast("string").alias("expert_id"), F.when(F.col("user_id") % 3 == 0, "click").otherwise("other").alias("task_relation"), "skill_ids", "concept_ids", "success_count")
-    p = table(spark, sf_dir, "part").where("p_partkey <= 100")
-    requests = p.select(F.col("p_partkey").alias("request_id"), F.when(F.col("p_partkey") % 2 == 0, "click").alias("task_relation"), F.array((F.col("p_size") % 40).cast("int"), (F.col("p_partkey") % 40).cast("int")).alias("skill_ids"), F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("view"))).otherwise(F.array(F.lit("none"))).alias("concept_ids"))
-    return R.route_experts(experts, requests)
+    """The sample that its SQL takes; see expert_route_all."""
+    return R.route_experts(_experts(table(spark, sf_dir, "events").where("user_id < 300")), _requests(table(spark, sf_dir, "part").where("p_partkey <= 100")))
+
+
+@query()
+def expert_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user an expert, every part a request."""
+    return R.route_experts(_experts(table(spark, sf_dir, "events")), _requests(table(spark, sf_dir, "part")))
+
+
+def _experts(events: DataFrame) -> DataFrame:
+    e = events.groupBy("user_id").agg(F.collect_set((F.col("event_id") % 40).cast("int")).alias("skill_ids"), F.collect_set("event_type").alias("concept_ids"), F.count("*").alias("success_count"))
+    return e.select(F.col("user_id").cast("string").alias("expert_id"), F.when(F.col("user_id") % 3 == 0, "click").otherwise("other").alias("task_relation"), "skill_ids", "concept_ids", "success_count")
+
+
+def _requests(part: DataFrame) -> DataFrame:
+    return part.select(F.col("p_partkey").alias("request_id"), F.when(F.col("p_partkey") % 2 == 0, "click").alias("task_relation"), F.array((F.col("p_size") % 40).cast("int"), (F.col("p_partkey") % 40).cast("int")).alias("skill_ids"), F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("view"))).otherwise(F.array(F.lit("none"))).alias("concept_ids"))
 
 
 @query("SELECT DISTINCT user_id, s AS expert_id FROM (SELECT DISTINCT user_id, event_type FROM events) JOIN (SELECT DISTINCT event_type, user_id % 16 AS s FROM events) USING (event_type)")
