@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
+
 from weftlex import plans
+from weftlex.operators import geometry
 
 
 def table(spark, sf_dir, name):
@@ -26,3 +29,35 @@ def test_expert_route_all(spark, sf_dir):
     df = plans.QUERIES["expert_route_all"](spark, sf_dir)
     assert sorted(map(tuple, df.collect())) == sorted(want)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vector_queries_over_all(spark, sf_dir):
+    rows = sorted(table(spark, sf_dir, "embeddings"), key=lambda r: r.vec_id)
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    run = lambda name: plans.QUERIES[name](spark, sf_dir)
+    d = ((v[:, None] - v[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :8]
+    p = v * 0.9 + np.roll(v, -1, axis=1) * 0.05
+    ref, seen = np.sqrt(np.take_along_axis(d, near, 1)), np.linalg.norm(p[:, None] - p[near], axis=-1)
+    gap = np.abs(seen - ref) / ref.mean()
+    got = run("knn_locality_loss_all").first()
+    assert abs(got.locality_loss - np.where(gap < 1, gap * gap / 2, gap - 0.5).mean()) < 2e-6 and abs(got.point_loss - ((p - v) ** 2).mean()) < 2e-6
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = -((unit(v)[:, None] - unit(v)[None]) ** 2).sum(-1) / 64
+    best = {r.vec_id: r.token_id for r in run("greedy_decode_all").collect()}
+    top = run("vocab_scores_topk_all").collect()
+    assert len(best) == len(ids) > 200 and len(top) == 5 * len(ids) and any(r.token_id % 10 for r in top)
+    at = {int(x): k for k, x in enumerate(ids)}
+    assert all(abs(r.score - np.sort(score[at[r.vec_id]])[-r.rank]) < 2e-6 and abs(r.score - score[at[r.vec_id], at[r.token_id]]) < 2e-6 for r in top)
+    assert all(score[at[i], at[t]] > score[at[i]].max() - 1e-9 for i, t in best.items())
+    loss = [max(0.0, 0.2 - score[at[i], at[i // 10 * 10]] + s) for i in at if i % 7 for s in sorted((score[at[i], k] for k in range(len(ids)) if ids[k] != i // 10 * 10), reverse=True)[:8]]
+    assert abs(run("rank_margin_loss_all").first().loss - sum(loss) / len(loss)) < 2e-6
+
+
+def test_blocks_keep_ties_by_id(spark):
+    pts = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)] + [(40, [1.0, 2.5])], "id long, v array<double>")
+    got = {}
+    for r in geometry.block_nearest(pts, pts, 3, others=True, block=7).collect():
+        got.setdefault(r.id, []).append((r.d2, r.other))
+    assert all(sorted(x) == [(0.25 if i == 40 else 0.0, j) for j in [y for y in range(40) if y != i][:3]] for i, x in got.items()) and len(got) == 41

@@ -128,9 +128,18 @@ SELECT {_r('pt')} AS point_loss, {_r('loc')} AS locality_loss, {_r('pt + loc')}
 )
 def knn_locality_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchor pairs of the alignment set: those with ids below 200, projected by a fixed smoothing."""
-    v = _vectors(spark, sf_dir).where("vec_id < 200")
+    return _locality(_vectors(spark, sf_dir).where("vec_id < 200"))
+
+
+@query()
+def knn_locality_loss_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, neighbours among all."""
+    return _locality(_vectors(spark, sf_dir), blocks=True)
+
+
+def _locality(v: DataFrame, blocks: bool = False) -> DataFrame:
     shifted = F.transform("v", lambda x, i: x * 0.9 + F.get("v", (i + 1) % 64) * 0.05)
-    out = G.locality_loss(v.select("vec_id", F.col("v").alias("r"), shifted.alias("p")), "vec_id", "p", "r")
+    out = G.locality_loss(v.select("vec_id", F.col("v").alias("r"), shifted.alias("p")), "vec_id", "p", "r", blocks=blocks)
     return out.select(*(V.tidy(F.col(c)).alias(c) for c in ("point_loss", "locality_loss", "total_loss")))
 
 
@@ -163,6 +172,33 @@ def rank_margin_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.rank_margin_loss(_scores(spark, sf_dir), targets, ["vec_id"], 0.2, 8).select(V.tidy(F.col("loss")).alias("loss"))
 
 
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """All states against all vectors as the vocabulary."""
+    v = _vectors(spark, sf_dir)
+    return G.block_scores(v.select(F.col("vec_id").alias("id"), "v"), v.select(F.col("vec_id").alias("token_id"), "v"), k).withColumnRenamed("id", "vec_id")
+
+
+@query()
+def vocab_scores_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(spark, sf_dir, 5).withColumn("score", V.tidy(F.col("score")))
+
+
+@query()
+def greedy_decode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(spark, sf_dir, 1).select("vec_id", "token_id")
+
+
+@query()
+def rank_margin_loss_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight strongest negatives are among the nine best tokens; the target is scored by itself."""
+    v, near = _vectors(spark, sf_dir), _best(spark, sf_dir, 9)
+    aim = v.select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.lit(-100)).otherwise(F.floor(F.col("vec_id") / 10) * 10).alias("target"), V.l2_normalize(V.rms_norm(F.col("v"))).alias("u")).where("target <> -100")
+    pos = aim.join(v.select(F.col("vec_id").alias("target"), V.l2_normalize(F.col("v")).alias("t")), "target").select("vec_id", "target", (-V.squared_distance(F.col("t"), F.col("u")) / F.size("u")).alias("pos"))
+    order = Window.partitionBy("vec_id").orderBy("rank")
+    neg = near.join(pos, "vec_id").where("token_id <> target").withColumn("r", F.row_number().over(order)).where("r <= 8")
+    return neg.agg(V.tidy(F.coalesce(F.sum(F.greatest(F.lit(0.0), 0.2 - F.col("pos") + F.col("score"))) / F.count("*"), F.lit(0.0))).alias("loss"))
+
+
 @query(f"WITH {_T}, p AS (SELECT label, v AS c, lag(v) OVER (PARTITION BY label ORDER BY t) AS b FROM s) SELECT label, {_r(f'sqrt(sum({_d2('c', 'b')}) / sum(len(b))) / (sqrt(sum({_sq('b')}) / sum(len(b))) + {E})')} AS change FROM p WHERE b IS NOT NULL GROUP BY label")
 def relative_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _states(spark, sf_dir).withColumn("b", F.lag("v").over(Window.partitionBy("label").orderBy("t"))).where("b IS NOT NULL")
