@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
 
 from weftlex import plans
-from weftlex.operators import geometry
+from weftlex.operators import geometry, surface
+from weftlex.plans.surface import records
 
 
 def table(spark, sf_dir, name):
@@ -61,3 +63,27 @@ def test_blocks_keep_ties_by_id(spark):
     for r in geometry.block_nearest(pts, pts, 3, others=True, block=7).collect():
         got.setdefault(r.id, []).append((r.d2, r.other))
     assert all(sorted(x) == [(0.25 if i == 40 else 0.0, j) for j in [y for y in range(40) if y != i][:3]] for i, x in got.items()) and len(got) == 41
+
+
+def test_resolve_suffix_tokens_all(spark, sf_dir):
+    plain = lambda x: re.sub(r"\s", "", x.lower(), flags=re.A)
+    bank = {}
+    for r in sorted(records(spark, sf_dir).where("word_order > 1").collect(), key=lambda r: (-r.word_order, -r.frequency, r.row_index, r.surface_text)):
+        bank.setdefault(plain(r.surface_text), (-r.word_order, -r.frequency, r.row_index, r.surface_text))
+    lengths, want = {len(k) for k in bank}, []
+    for item in table(spark, sf_dir, "benchmark"):
+        text = plain(item.text)
+        for end in range(len(text)):
+            hits = [(bank[k], end - n + 1) for n in lengths if n <= end + 1 and (k := text[end - n + 1 : end + 1]) in bank]
+            if hits:
+                best, start = min(hits)
+                want.append((item.item_id, end, start, -best[0], best[2]))
+    got = sorted(tuple(r) for r in plans.QUERIES["resolve_suffix_tokens_all"](spark, sf_dir).collect())
+    assert got == sorted(want) and any(w[4] >= 300 for w in want)
+
+
+def test_suffixes_of_every_address_length(spark):
+    key = list(range(30))
+    addresses = spark.createDataFrame([("bos", key, 2, 0, 1, "x", None)], "boundary_mode string, token_ids array<bigint>, word_order int, row_index long, frequency long, surface_text string, sense_id string")
+    got = surface.resolve_suffixes(spark.createDataFrame([(1, [*key, 5])], "id long, ids array<bigint>"), addresses, "id").collect()
+    assert [(r.end, r.start) for r in got] == [(29, 0)]

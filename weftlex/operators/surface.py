@@ -150,9 +150,11 @@ def decomposition(found: DataFrame, addresses: DataFrame, id_col: str) -> DataFr
     return hits.join(top, [id_col, "segment", "p"]).where("word_order < top").select(id_col, "segment", "p", "word_order", "row_index")
 
 
-def resolve_suffixes(tokens: DataFrame, addresses: DataFrame, id_col: str, max_span: int) -> DataFrame:
+def resolve_suffixes(tokens: DataFrame, addresses: DataFrame, id_col: str, max_span: int | None = None) -> DataFrame:
     """Token-level form: every suffix of up to ``max_span`` ids that ends at a position is looked up.
 
+    Without ``max_span``, those of every length that an address has.
+
     ``tokens(id, ids)``; a suffix that starts the text matches 'bos' addresses,
     any other 'internal' ones.  The longest word order wins, whatever its token
     length; within it the most frequent, then the lowest row; order one keeps
@@ -160,7 +162,11 @@ def resolve_suffixes(tokens: DataFrame, addresses: DataFrame, id_col: str, max_s
     """
     at = F.explode(F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda e: e)).alias("end")
     ends = tokens.where(F.size("ids") > 0).select(id_col, "ids", at)
-    spans_ = ends.select(id_col, "ids", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_span), F.col("end") + 1))).alias("token_length"))
+    if max_span is None:
+        lengths = addresses.agg(F.collect_set(F.size("token_ids")).alias("_lengths"))
+        spans_ = ends.join(F.broadcast(lengths)).select(id_col, "ids", "end", F.explode(F.filter("_lengths", lambda n: (n > 0) & (n <= F.col("end") + 1))).alias("token_length"))
+    else:
+        spans_ = ends.select(id_col, "ids", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_span), F.col("end") + 1))).alias("token_length"))
     start = F.col("end") - F.col("token_length") + 1
     keys = spans_.select(id_col, "end", start.alias("start"), F.when(start == 0, "bos").otherwise("internal").alias("boundary_mode"), F.slice("ids", start + 1, F.col("token_length")).alias("token_ids"))
     hits = keys.join(addresses.select("boundary_mode", "token_ids", "word_order", "row_index", "frequency", "surface_text", "sense_id"), ["boundary_mode", "token_ids"])

@@ -107,6 +107,14 @@ def resolve_suffix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.resolve_suffixes(tokens, addresses, "item_id", _SPAN).drop("sense_id")
 
 
+@query()
+def resolve_suffix_tokens_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bank, spans of every length that it has."""
+    addresses = S.boundary_variants(records(spark, sf_dir).where("word_order > 1"), _codes)
+    tokens = table(spark, sf_dir, "benchmark").select("item_id", _codes(F.col("text")).alias("ids"))
+    return S.resolve_suffixes(tokens, addresses, "item_id").drop("sense_id")
+
+
 @query("WITH w AS (SELECT row_number() OVER (ORDER BY w) - 1 AS id, w FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM benchmark) WHERE w <> ''), k AS (SELECT id, lower(strip_accents(w)) AS k FROM w), f AS (SELECT k, row_number() OVER (ORDER BY min(id)) - 1 AS c FROM k GROUP BY k) SELECT id AS raw_token_id, c AS canonical_token_id, k AS canonical_key FROM k JOIN f USING (k)")
 def token_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.token_projection(_vocabulary(spark, sf_dir))
