@@ -6,7 +6,6 @@ import atexit
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,27 +42,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a session without one raises, save in local mode.
+
+    In local mode driver and executors are one process, so a folder under the warehouse serves.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftlex-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may be gone by then; the folder is scratch
+        return
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver exits."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone by then; the folder is scratch
-            return
-
-    atexit.register(drop)
+    atexit.register(_delete, spark, path)
     return path
 
 
@@ -72,7 +74,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader has run."""
+    for t in tables:
+        _delete(t.sparkSession, t._staged_at)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -80,6 +90,24 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def look_up(rows: DataFrame, named: DataFrame, on: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with staged ``named`` (one row for each ``on``, ``k`` of how many rows of ``rows`` it is).
+
+    A small ``named`` is broadcast.  Else the keys of a thousandth of the rows
+    or more, a thousand at most, are broadcast and looked up first, so that no
+    task of the shuffle join that follows gets more than such a share by a key.
+    """
+    others = [c for c in named.columns if c not in (on, "k")]
+    if named.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(named.drop("k")), on, "left")
+    heavy = named.where(F.col("k") * 1000 >= total).drop("k")
+    hot = F.broadcast(heavy.select(on, F.lit(True).alias("is_hot")))
+    marked = rows.join(hot, on, "left")
+    easy = marked.where("is_hot").drop("is_hot").join(F.broadcast(heavy), on, "left")
+    rest = marked.where("is_hot IS NULL").drop("is_hot").join(named.where(F.col("k") * 1000 < total).drop("k"), on, "left")
+    return easy.unionByName(rest).select(*rows.columns, *others)
+
+
 def arrow_rows(df: DataFrame) -> DataFrame:
     """``df``, its session's Arrow batches made small: a batch lies in the JVM, beside it and in the worker at once."""
     conf = df.sparkSession.conf
@@ -110,17 +138,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges(u, v)``: (node, root), root the smallest node.
 
     Alternates large-star and small-star steps until nothing moves; each step is
-    a grouped minimum and a join back, staged in the shared folder.  Nodes
-    without an edge to another one are left out.  An empty input gives no rows.
+    a grouped minimum and a join back, staged in the shared folder; the minima
+    are written before they are joined, so that the join can split a hub's
+    rows.  Nodes without an edge to another one are left out.  An empty input
+    gives no rows.
     """
 
-    def stars(e: DataFrame) -> DataFrame:
+    def step(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        dropped(least)
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), name)
         near = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return near.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        out = staged(near.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
+        dropped(least, large, e)
+        return out
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
@@ -128,7 +161,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     cur = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     before = mark(cur)
     while before[0]:
-        cur = staged(stars(cur), name)
+        cur = step(cur)
         after = mark(cur)
         if after == before:
             break
