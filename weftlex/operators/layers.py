@@ -7,7 +7,7 @@ their size is checked first.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -185,6 +185,23 @@ def over_sequences(states: DataFrame, seq: str, t: str, v: str, layer: Callable[
     return states.select(seq, t, v).groupBy(seq).applyInPandas(run, f"{seq} {seq_type}, {t} {t_type}, {v} array<double>")
 
 
+def over_rows(rows: DataFrame, key: str, inputs: list[str], layer: Callable[..., np.ndarray], out: str = "v") -> DataFrame:
+    """(key, out): ``layer`` of the matrices of the input columns, batch by batch; rows are independent of each other.
+
+    An array column is a matrix of a row for each state, any other a vector.  An
+    empty table gives no rows.
+    """
+    key_type = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                found = layer(*(np.stack([np.asarray(x, float) for x in pdf[c]]) for c in inputs))
+                yield pd.DataFrame({key: pdf[key].to_numpy(), out: list(found)})
+
+    return rows.select(key, *inputs).mapInPandas(run, f"{key} {key_type}, {out} array<double>")
+
+
 def recurrent(states: DataFrame, seq: str, t: str, v: str, blocks: list[Callable[[np.ndarray], np.ndarray]], rounds: int, exponent: float = 0.25, tolerance: float | None = None) -> DataFrame:
     """Visit the blocks in turn, ``rounds`` times: x becomes rms(gain * x + block(x)).
 

@@ -178,9 +178,11 @@ def unfold_groups(deltas: DataFrame, ranks: list[int], thresholds: list[float],
     return deltas.groupBy("layer", "module").applyInPandas(run, "layer int, module string, mode string, status string, requested_rank long, rank long, explained double, ranks_for array<long>")
 
 
-def lora_deltas(factors: DataFrame) -> DataFrame:
+def lora_deltas(factors: DataFrame, alpha_pattern: dict[str, float] | None = None, rank_pattern: dict[str, int] | None = None) -> DataFrame:
     """(adapter, layer, module, rows): alpha / r times B A for each pair of factor tensors.
 
+    The first expression of a pattern that a key's base matches overrides alpha or r.
+
     ``factors(adapter, key, kind, rows, alpha, r)``; keys that differ only in the
     factor's name are a pair; a factor without its other half drops out.
     """
@@ -189,6 +191,8 @@ def lora_deltas(factors: DataFrame) -> DataFrame:
     a = df.where("kind = 'A'").select("adapter", "base", F.col("rows").alias("a"), "alpha", "r")
     b = df.where("kind = 'B'").select("adapter", "base", F.col("rows").alias("b"))
     both = a.join(b, ["adapter", "base"])
+    told = lambda pattern, own: F.coalesce(*(F.when(F.col("base").rlike(p), F.lit(x)) for p, x in (pattern or {}).items()), F.col(own))
+    both = both.withColumns({"alpha": told(alpha_pattern, "alpha"), "r": told(rank_pattern, "r")})
     rank = F.coalesce("r", F.size("a")).cast("double")
     columns = F.transform(F.sequence(F.lit(0), F.size(F.get("a", F.lit(0))) - 1), lambda j: F.transform("a", lambda row: F.get(row, j)))
     scaled = F.transform("b", lambda row: F.transform("at", lambda col: V.dot(row, col) * F.coalesce("alpha", F.lit(1.0) * rank) / rank))
