@@ -65,6 +65,16 @@ def tuple_key(ids: Column) -> Column:
     return F.unhex(F.concat(swap(hex32(F.size(ids))), F.array_join(F.transform(ids, lambda x: swap(hex32(x))), "")))
 
 
+def tuple_ids(key: Column) -> Column:
+    """The ids of a tuple's storage form; a key whose length is not what its count says raises."""
+    h = F.hex(key)
+    number = lambda at: F.conv(F.concat(*(F.substring(h, at + k, F.lit(2)) for k in (6, 4, 2, 0))), 16, 10).cast("long")
+    count = number(F.lit(1))
+    ok = (F.octet_length(key) >= 4) & (F.octet_length(key) == 4 * (count + 1))
+    ids = F.transform(F.sequence(F.lit(1).cast("long"), count), lambda i: number((8 * i + 1).cast("int")))
+    return F.when(ok, F.when(count > 0, ids).otherwise(F.array().cast("array<bigint>"))).otherwise(F.raise_error(F.lit("not the key of an id tuple")).cast("array<bigint>"))
+
+
 def shard_of(row: Column, size: int) -> Column:
     """(shard_index, local_row) of a dense row number."""
     return F.struct(F.floor(row / size).cast("long").alias("shard_index"), (row % size).cast("long").alias("local_row"))

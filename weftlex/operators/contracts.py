@@ -170,6 +170,30 @@ def by_length(rows: DataFrame, length: str, ordinal: str) -> DataFrame:
     return rows.orderBy(length, ordinal)
 
 
+#: What settings must satisfy, by the name of the rule; a row of settings breaks those whose predicate is not true.
+RULES: dict[str, str] = {f"{c} is positive": f"{c} >= 1" for c in "vocabulary width memory_width length rounds window nearest skills skill_rank skill_top experts expert_width branches expert_top heads chunk".split()} | {
+    "directions are not negative": "directions >= 0",
+    "directions need a top": "directions = 0 OR direction_top >= 1",
+    "skills hold their top": "skill_top <= skills",
+    "experts hold their top": "expert_top <= experts",
+    "the window fits the length": "window <= length",
+    "the nearest fit the window": "nearest <= window",
+    "the exponent is positive": "exponent > 0",
+    "the width holds whole routes": "width % bits = 0",
+    "every order has a table": "size(orders) = size(table_rows)",
+    "orders are positive": "NOT exists(orders, x -> x < 1)",
+    "tables have rows": "NOT exists(table_rows, x -> x < 1)",
+    "memory has a quarter": "abs(memory_fraction - 0.25) <= 1e-12",
+    "the loop exponent is known": "loop_exponent IN (0.25, 0.5)",
+}
+
+
+def broken_rules(settings: DataFrame, key: str) -> DataFrame:
+    """(key, rule) of each rule that a row of settings breaks; a null setting breaks what it is part of."""
+    found = F.array_compact(F.array(*(F.when(~F.coalesce(F.expr(f"({test})"), F.lit(False)), F.lit(rule)) for rule, test in RULES.items())))
+    return settings.select(key, F.explode(found).alias("rule"))
+
+
 @dataclass(frozen=True)
 class Settings:
     """Shapes of the memory and routing layers; impossible ones raise."""

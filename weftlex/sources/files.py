@@ -54,6 +54,55 @@ def write_ranked(ranked: DataFrame, path: str) -> None:
     ranked.repartitionByRange("n", "rank").sortWithinPartitions("n", "rank").write.partitionBy("n").mode("overwrite").json(path)
 
 
+def write_collisions(collisions: DataFrame, path: str) -> None:
+    """Addresses of several surfaces as JSON lines, their candidates nested."""
+    collisions.write.mode("overwrite").json(path)
+
+
+def write_phrase_keys(keys: DataFrame, path: str) -> None:
+    """Phrase keys as JSON lines, one folder for each order, in order of their row numbers."""
+    keys.repartitionByRange("n", "row_index").sortWithinPartitions("n", "row_index").write.partitionBy("n").mode("overwrite").json(path)
+
+
+def write_sense_lookup(senses: DataFrame, path: str, shard_rows: int = 50_000) -> None:
+    """Where each sense's vector lies: (sense_id, sense_row, shard_index, local_row), sorted by sense_id for point reads."""
+    at = senses.select("sense_id", "sense_row", H.shard_of(F.col("sense_row"), shard_rows).alias("s"))
+    at.select("sense_id", "sense_row", "s.shard_index", "s.local_row").repartitionByRange("sense_id").sortWithinPartitions("sense_id").write.mode("overwrite").parquet(path)
+
+
+def write_basis(basis: DataFrame, path: str) -> None:
+    """A fitted basis: one row for each component, with its eigenvalue and explained ratio."""
+    each = F.arrays_zip(F.col("components"), F.col("eigenvalues"), F.col("ratio"))
+    out = basis.select(*(c for c in basis.columns if c == "source"), F.posexplode(each).alias("component", "x"))
+    out.select(*(c for c in basis.columns if c == "source"), "component", "x.components", "x.eigenvalues", "x.ratio").write.mode("overwrite").parquet(path)
+
+
+def compile_source(spark: SparkSession, source: str, path: str, spec) -> dict:
+    """A raw lexicon as canonical JSON lines under ``path`` with a manifest beside it; what holds already is kept.
+
+    Returns the manifest's counts: sense rows and distinct headwords.
+    """
+    from . import lexicons
+
+    contract = {"source_id": spec.source_id, "parser": spec.parser, "version": spec.version, "files": sorted((r.path.rsplit("/", 1)[-1], r.sha256) for r in file_hashes(spark, source).select("path", "sha256").collect())}
+    manifest = f"{path}.manifest"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest)
+    if not (at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) and manifest_problems(spark, manifest, path, contract).isEmpty()):
+        lexicons.read_source(spark, source, spec).write.mode("overwrite").json(path)
+        write_manifest(spark, manifest, contract, file_hashes(spark, path))
+    rows = spark.read.schema("surface string").json(path)
+    return rows.agg(F.count("*").alias("sense_rows"), F.count_distinct("surface").alias("headwords")).first().asDict()
+
+
+def missing_shards(expected: DataFrame, manifest: DataFrame, actual: DataFrame) -> DataFrame:
+    """The shards that a resumed run must write again: (name) expected and absent, or other than recorded.
+
+    ``manifest`` and ``actual`` are (name, sha256) as recorded and as found.
+    """
+    good = manifest.join(actual, ["name", "sha256"], "left_semi")
+    return expected.select("name").join(good, "name", "left_anti")
+
+
 def write_preview(preview: DataFrame, path: str) -> None:
     """A preview of bounded length as one text file."""
     preview.orderBy("rank").select("line").coalesce(1).write.mode("overwrite").text(path)

@@ -29,6 +29,15 @@ class Source:
     license_url: str = ""
 
 
+# The public lexicons that dictionaries are compiled from.
+SOURCES: tuple[Source, ...] = (
+    Source("open_english_wordnet_plus", "lexicon_xml", "2025+", "https://en-word.net/downloads", "WordNet License + CC BY 4.0", "https://github.com/globalwordnet/english-wordnet/blob/main/LICENSE.md"),
+    Source("english_wiktionary", "wiki_jsonl", "2026-07-06", "https://kaikki.org/dictionary/rawdata.html", "CC BY-SA 4.0 + GFDL", "https://en.wiktionary.org/wiki/Wiktionary:Copyrights"),
+    Source("mesh_descriptors", "headings_xml", "2026", "https://www.nlm.nih.gov/databases/download/mesh.html", "NLM MeSH Terms and Conditions", "https://www.nlm.nih.gov/databases/download/terms_and_conditions_mesh.html"),
+    Source("mesh_supplementary_concepts", "headings_xml", "2026", "https://www.nlm.nih.gov/databases/download/mesh.html", "NLM MeSH Terms and Conditions", "https://www.nlm.nih.gov/databases/download/terms_and_conditions_mesh.html"),
+)
+
+
 def catalog(spark: SparkSession, sources: list[Source]) -> DataFrame:
     """The sources as a small table."""
     return spark.createDataFrame([(s.source_id, s.parser, s.version, s.page, s.license_name, s.license_url) for s in sources], "source_id string, parser string, version string, source_page string, license_name string, license_url string")
