@@ -16,7 +16,7 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()
 
 
-def test_expert_route_all(spark, sf_dir):
+def test_expert_route(spark, sf_dir):
     skills, kinds, n = defaultdict(set), defaultdict(set), defaultdict(int)
     for e in table(spark, sf_dir, "events"):
         skills[e.user_id].add(e.event_id % 40)
@@ -28,7 +28,7 @@ def test_expert_route_all(spark, sf_dir):
         found = [(not (p.p_partkey % 2 == 0 and u % 3 == 0), -len(kinds[u] & view), -len(skills[u] & ask), -n[u], str(u)) for u in n if skills[u] & ask or kinds[u] & view]
         want += [(p.p_partkey, k, f[4], sorted(skills[int(f[4])] & ask), sorted(kinds[int(f[4])] & view), not f[0]) for k, f in enumerate(sorted(found)[:8], 1)]
     assert max(p.p_partkey for p in parts) > 100
-    df = plans.QUERIES["expert_route_all"](spark, sf_dir)
+    df = plans.QUERIES["expert_route"](spark, sf_dir)
     assert sorted(map(tuple, df.collect())) == sorted(want)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
 
@@ -43,18 +43,18 @@ def test_vector_queries_over_all(spark, sf_dir):
     p = v * 0.9 + np.roll(v, -1, axis=1) * 0.05
     ref, seen = np.sqrt(np.take_along_axis(d, near, 1)), np.linalg.norm(p[:, None] - p[near], axis=-1)
     gap = np.abs(seen - ref) / ref.mean()
-    got = run("knn_locality_loss_all").first()
+    got = run("knn_locality_loss").first()
     assert abs(got.locality_loss - np.where(gap < 1, gap * gap / 2, gap - 0.5).mean()) < 2e-6 and abs(got.point_loss - ((p - v) ** 2).mean()) < 2e-6
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     score = -((unit(v)[:, None] - unit(v)[None]) ** 2).sum(-1) / 64
-    best = {r.vec_id: r.token_id for r in run("greedy_decode_all").collect()}
-    top = run("vocab_scores_topk_all").collect()
+    best = {r.vec_id: r.token_id for r in run("greedy_decode").collect()}
+    top = run("vocab_scores_topk").collect()
     assert len(best) == len(ids) > 200 and len(top) == 5 * len(ids) and any(r.token_id % 10 for r in top)
     at = {int(x): k for k, x in enumerate(ids)}
     assert all(abs(r.score - np.sort(score[at[r.vec_id]])[-r.rank]) < 2e-6 and abs(r.score - score[at[r.vec_id], at[r.token_id]]) < 2e-6 for r in top)
     assert all(score[at[i], at[t]] > score[at[i]].max() - 1e-9 for i, t in best.items())
     loss = [max(0.0, 0.2 - score[at[i], at[i // 10 * 10]] + s) for i in at if i % 7 for s in sorted((score[at[i], k] for k in range(len(ids)) if ids[k] != i // 10 * 10), reverse=True)[:8]]
-    assert abs(run("rank_margin_loss_all").first().loss - sum(loss) / len(loss)) < 2e-6
+    assert abs(run("rank_margin_loss").first().loss - sum(loss) / len(loss)) < 2e-6
 
 
 def test_blocks_keep_ties_by_id(spark):
@@ -65,7 +65,7 @@ def test_blocks_keep_ties_by_id(spark):
     assert all(sorted(x) == [(0.25 if i == 40 else 0.0, j) for j in [y for y in range(40) if y != i][:3]] for i, x in got.items()) and len(got) == 41
 
 
-def test_resolve_suffix_tokens_all(spark, sf_dir):
+def test_resolve_suffix_tokens(spark, sf_dir):
     plain = lambda x: re.sub(r"\s", "", x.lower(), flags=re.A)
     bank = {}
     for r in sorted(records(spark, sf_dir).where("word_order > 1").collect(), key=lambda r: (-r.word_order, -r.frequency, r.row_index, r.surface_text)):
@@ -78,7 +78,7 @@ def test_resolve_suffix_tokens_all(spark, sf_dir):
             if hits:
                 best, start = min(hits)
                 want.append((item.item_id, end, start, -best[0], best[2]))
-    got = sorted(tuple(r) for r in plans.QUERIES["resolve_suffix_tokens_all"](spark, sf_dir).collect())
+    got = sorted(tuple(r) for r in plans.QUERIES["resolve_suffix_tokens"](spark, sf_dir).collect())
     assert got == sorted(want) and any(w[4] >= 300 for w in want)
 
 

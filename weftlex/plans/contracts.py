@@ -86,11 +86,14 @@ def latency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.latency(table(spark, sf_dir, "part"), "p_retailprice")
 
 
-@query("SELECT l_orderkey, l_linenumber, unhex('03000000') || unhex(lower(substr(h1, 7, 2) || substr(h1, 5, 2) || substr(h1, 3, 2) || substr(h1, 1, 2))) AS prefix FROM (SELECT l_orderkey, l_linenumber, lpad(to_hex(l_partkey), 8, '0') AS h1 FROM lineitem)")
+_HEX = "substr(lpad(to_hex({0}), 8, '0'), 7, 2) || substr(lpad(to_hex({0}), 8, '0'), 5, 2) || substr(lpad(to_hex({0}), 8, '0'), 3, 2) || substr(lpad(to_hex({0}), 8, '0'), 1, 2)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, lower('03000000' || {' || '.join(_HEX.format(c) for c in ('l_partkey', 'l_suppkey', 'l_linenumber'))}) AS key FROM lineitem")
 def tuple_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem")
+    """Whole storage keys, in hex."""
     key = H.tuple_key(F.array("l_partkey", "l_suppkey", F.col("l_linenumber").cast("long")))
-    return df.select("l_orderkey", "l_linenumber", F.substring(key, 1, 8).alias("prefix"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lower(F.hex(key)).alias("key"))
 
 
 @query("SELECT p_brand AS source, count(*) AS sense_rows, count(DISTINCT lower(p_name)) AS unique_headwords FROM part GROUP BY p_brand")
@@ -114,7 +117,22 @@ def last_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id")
 
 
-@query()
+def _constraints_sql() -> str:
+    from .dictionary import _RECORDS
+
+    rules = {
+        "word_id is unique": "SELECT word_id FROM words GROUP BY 1 HAVING count(*) > 1",
+        "normalized is unique": "SELECT normalized FROM words GROUP BY 1 HAVING count(*) > 1",
+        "sense_row is unique": "SELECT sense_row FROM senses GROUP BY 1 HAVING count(*) > 1",
+        "senses have words": "SELECT 1 FROM senses WHERE word_id NOT IN (SELECT word_id FROM words)",
+        "edges have senses": "SELECT 1 FROM edges WHERE sense_row NOT IN (SELECT sense_row FROM senses)",
+        "edges have words": "SELECT 1 FROM edges WHERE definition_word_id NOT IN (SELECT word_id FROM words)",
+        "edge positions are unique": "SELECT 1 FROM edges GROUP BY sense_row, position HAVING count(*) > 1",
+    }
+    return f"WITH {_RECORDS} " + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS violations FROM ({q})" for r, q in rules.items())
+
+
+@query(_constraints_sql())
 def dictionary_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dictionary import _built
 

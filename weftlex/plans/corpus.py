@@ -48,11 +48,11 @@ def ngram_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.preview(ngram_top_bigrams(spark, sf_dir))
 
 
-@query(f"SELECT text, count(*) AS frequency FROM ({_sql_ngrams(2)}) GROUP BY text HAVING count(*) > 1")
+@query(f"SELECT text, count(*) AS frequency FROM ({_sql_ngrams(2)}) GROUP BY text")
 def partial_then_final_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     halves = [docs.where(F.col("doc_id") % 2 == k) for k in (0, 1)]
-    return C.merged_counts(*(C.ngram_counts(h, 2) for h in halves)).where("frequency > 1")
+    return C.merged_counts(*(C.ngram_counts(h, 2) for h in halves))
 
 
 _NORMAL = "replace(lower(trim({})), 'ß', 'ss')"

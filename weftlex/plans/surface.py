@@ -87,28 +87,18 @@ def resolve_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.decomposition(_found(spark, sf_dir), S.address_table(records(spark, sf_dir)), "item_id")
 
 
-_SPAN = 24
-
-
 def _codes(c):
     return F.transform(F.filter(F.split(F.lower(c), ""), lambda x: (x != "") & ~x.rlike(r"^\s$")), lambda x: F.ascii(x).cast("long"))
 
 
 @query(
-    f"""WITH rec AS ({_bank(2, 'bigram')} AND rank <= 300 UNION ALL {_bank(3, 'trigram')} AND rank <= 300),
+    f"""WITH rec AS ({_bank(2, 'bigram')} UNION ALL {_bank(3, 'trigram')}),
 a AS (SELECT *, regexp_replace(lower(surface_text), '\\s', '', 'g') AS k FROM rec), t AS (SELECT item_id, regexp_replace(lower(text), '\\s', '', 'g') AS k FROM benchmark),
-e AS (SELECT item_id, k, unnest(range(0, length(k))) AS "end" FROM t), s AS (SELECT item_id, "end", unnest(range(1, least({_SPAN}, "end" + 1) + 1)) AS n, k FROM e),
+e AS (SELECT item_id, k, unnest(range(0, length(k))) AS "end" FROM t), s AS (SELECT item_id, "end", unnest(range(1, least((SELECT max(length(k)) FROM a), "end" + 1) + 1)) AS n, k FROM e),
 h AS (SELECT s.item_id, s."end", s."end" - s.n + 1 AS start, a.word_order, a.row_index, row_number() OVER (PARTITION BY s.item_id, s."end" ORDER BY a.word_order DESC, a.frequency DESC, a.row_index, a.surface_text) AS r FROM s JOIN a ON a.k = substr(s.k, s."end" - s.n + 2, s.n))
 SELECT item_id, CAST("end" AS INTEGER) AS "end", CAST(start AS INTEGER) AS start, word_order, row_index FROM h WHERE r = 1"""
 )
 def resolve_suffix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    addresses = S.boundary_variants(records(spark, sf_dir).where("word_order > 1 AND row_index < 300"), _codes)
-    tokens = table(spark, sf_dir, "benchmark").select("item_id", _codes(F.col("text")).alias("ids"))
-    return S.resolve_suffixes(tokens, addresses, "item_id", _SPAN).drop("sense_id")
-
-
-@query()
-def resolve_suffix_tokens_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole bank, spans of every length that it has."""
     addresses = S.boundary_variants(records(spark, sf_dir).where("word_order > 1"), _codes)
     tokens = table(spark, sf_dir, "benchmark").select("item_id", _codes(F.col("text")).alias("ids"))

@@ -121,45 +121,39 @@ def definition_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_V}, p AS (SELECT vec_id AS id, v AS ref, list_transform(range(1, 65), lambda i: v[i] * 0.9 + v[(i % 64) + 1] * 0.05) AS prj FROM v WHERE vec_id < 200),
+    f"""WITH {_V}, p AS (SELECT vec_id AS id, v AS ref, list_transform(range(1, 65), lambda i: v[i] * 0.9 + v[(i % 64) + 1] * 0.05) AS prj FROM v),
 n AS (SELECT * FROM (SELECT a.id, b.id AS other, sqrt({_d2('a.ref', 'b.ref')}) AS d, sqrt({_d2('a.prj', 'b.prj')}) AS o, row_number() OVER (PARTITION BY a.id ORDER BY sqrt({_d2('a.ref', 'b.ref')}), b.id) AS rn FROM p a JOIN p b ON a.id <> b.id) WHERE rn <= 8),
 g AS (SELECT abs(o / sc - d / sc) AS g FROM n, (SELECT greatest(avg(d), {E}) AS sc FROM n)), l AS (SELECT avg(CASE WHEN g < 1 THEN 0.5 * g * g ELSE g - 0.5 END) AS loc FROM g), q AS (SELECT sum({_d2('prj', 'ref')}) / sum(len(prj)) AS pt FROM p)
 SELECT {_r('pt')} AS point_loss, {_r('loc')} AS locality_loss, {_r('pt + loc')} AS total_loss FROM l, q"""
 )
 def knn_locality_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchor pairs of the alignment set: those with ids below 200, projected by a fixed smoothing."""
-    return _locality(_vectors(spark, sf_dir).where("vec_id < 200"))
+    """All vectors, neighbours among all, against a fixed smoothing of them."""
+    return _locality(_vectors(spark, sf_dir))
 
 
-@query()
-def knn_locality_loss_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors, neighbours among all."""
-    return _locality(_vectors(spark, sf_dir), blocks=True)
-
-
-def _locality(v: DataFrame, blocks: bool = False) -> DataFrame:
+def _locality(v: DataFrame) -> DataFrame:
     shifted = F.transform("v", lambda x, i: x * 0.9 + F.get("v", (i + 1) % 64) * 0.05)
-    out = G.locality_loss(v.select("vec_id", F.col("v").alias("r"), shifted.alias("p")), "vec_id", "p", "r", blocks=blocks)
+    out = G.locality_loss(v.select("vec_id", F.col("v").alias("r"), shifted.alias("p")), "vec_id", "p", "r", blocks=True)
     return out.select(*(V.tidy(F.col(c)).alias(c) for c in ("point_loss", "locality_loss", "total_loss")))
 
 
-_SCORES = f"v0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), sc AS (SELECT a.vec_id, b.vec_id AS token_id, -({_d2('a.u', 'b.u')}) / 64 AS score FROM (SELECT vec_id, {_unit('v')} AS u FROM (SELECT vec_id, {_rms('v')} AS v FROM v0)) a, (SELECT vec_id, {_unit('v')} AS u FROM v0 WHERE vec_id % 10 = 0) b)"
+_SCORES = f"v0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), sc AS (SELECT a.vec_id, b.vec_id AS token_id, -({_d2('a.u', 'b.u')}) / 64 AS score FROM (SELECT vec_id, {_unit('v')} AS u FROM (SELECT vec_id, {_rms('v')} AS v FROM v0)) a, (SELECT vec_id, {_unit('v')} AS u FROM v0) b)"
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All states against a vocabulary of every tenth vector."""
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """All states against all vectors as the vocabulary."""
     v = _vectors(spark, sf_dir)
-    return G.vocabulary_scores(v, v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("token_id"), "v"), ["vec_id"], "v")
+    return G.block_scores(v.select(F.col("vec_id").alias("id"), "v"), v.select(F.col("vec_id").alias("token_id"), "v"), k).withColumnRenamed("id", "vec_id")
 
 
 @query(f"WITH {_SCORES} SELECT vec_id, CAST(rank AS INTEGER) AS rank, token_id, {_r('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, token_id) AS rank FROM sc) WHERE rank <= 5")
 def vocab_scores_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.top_scores(_scores(spark, sf_dir), ["vec_id"], 5).withColumn("score", V.tidy(F.col("score")))
+    return _best(spark, sf_dir, 5).withColumn("score", V.tidy(F.col("score")))
 
 
 @query(f"WITH {_SCORES} SELECT vec_id, token_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, token_id) AS rank FROM sc) WHERE rank = 1")
 def greedy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.greedy(_scores(spark, sf_dir), ["vec_id"])
+    return _best(spark, sf_dir, 1).select("vec_id", "token_id")
 
 
 @query(
@@ -168,28 +162,6 @@ p AS (SELECT vec_id, score AS pos FROM j WHERE token_id = target), n AS (SELECT
 SELECT {_r('sum(greatest(0, 0.2 - pos + score)) / count(*)')} AS loss FROM n JOIN p USING (vec_id)"""
 )
 def rank_margin_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.lit(-100)).otherwise(F.floor(F.col("vec_id") / 10) * 10).alias("target"))
-    return G.rank_margin_loss(_scores(spark, sf_dir), targets, ["vec_id"], 0.2, 8).select(V.tidy(F.col("loss")).alias("loss"))
-
-
-def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """All states against all vectors as the vocabulary."""
-    v = _vectors(spark, sf_dir)
-    return G.block_scores(v.select(F.col("vec_id").alias("id"), "v"), v.select(F.col("vec_id").alias("token_id"), "v"), k).withColumnRenamed("id", "vec_id")
-
-
-@query()
-def vocab_scores_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(spark, sf_dir, 5).withColumn("score", V.tidy(F.col("score")))
-
-
-@query()
-def greedy_decode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(spark, sf_dir, 1).select("vec_id", "token_id")
-
-
-@query()
-def rank_margin_loss_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight strongest negatives are among the nine best tokens; the target is scored by itself."""
     v, near = _vectors(spark, sf_dir), _best(spark, sf_dir, 9)
     aim = v.select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.lit(-100)).otherwise(F.floor(F.col("vec_id") / 10) * 10).alias("target"), V.l2_normalize(V.rms_norm(F.col("v"))).alias("u")).where("target <> -100")
@@ -227,8 +199,8 @@ def direction_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SKILLS = "list_sort(list_distinct(list_transform(string_split(ps, ','), lambda x: CAST(x AS INTEGER))))"
-_EXPERTS = "x AS (SELECT CAST(user_id AS VARCHAR) AS expert_id, CASE WHEN user_id % 3 = 0 THEN 'click' ELSE 'other' END AS task_relation, list_distinct(list(CAST(event_id % 40 AS INTEGER))) AS skill_ids, list_distinct(list(event_type)) AS concept_ids, count(*) AS success_count FROM events WHERE user_id < 300 GROUP BY user_id)"
-_REQUESTS = "q AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 2 = 0 THEN 'click' END AS task_relation, [p_size % 40, p_partkey % 40] AS skill_ids, CASE WHEN p_partkey % 4 = 0 THEN ['view'] ELSE ['none'] END AS concept_ids FROM part WHERE p_partkey <= 100)"
+_EXPERTS = "x AS (SELECT CAST(user_id AS VARCHAR) AS expert_id, CASE WHEN user_id % 3 = 0 THEN 'click' ELSE 'other' END AS task_relation, list_distinct(list(CAST(event_id % 40 AS INTEGER))) AS skill_ids, list_distinct(list(event_type)) AS concept_ids, count(*) AS success_count FROM events GROUP BY user_id)"
+_REQUESTS = "q AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 2 = 0 THEN 'click' END AS task_relation, [p_size % 40, p_partkey % 40] AS skill_ids, CASE WHEN p_partkey % 4 = 0 THEN ['view'] ELSE ['none'] END AS concept_ids FROM part)"
 
 
 @query(
@@ -236,12 +208,6 @@ _REQUESTS = "q AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 2 = 0 T
 SELECT request_id, CAST(rank AS INTEGER) AS rank, expert_id, skills, concepts, task_match FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CAST(task_match AS INTEGER) DESC, len(concepts) DESC, len(skills) DESC, success_count DESC, expert_id) AS rank FROM c) WHERE rank <= 8"""
 )
 def expert_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample that its SQL takes; see expert_route_all."""
-    return R.route_experts(_experts(table(spark, sf_dir, "events").where("user_id < 300")), _requests(table(spark, sf_dir, "part").where("p_partkey <= 100")))
-
-
-@query()
-def expert_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user an expert, every part a request."""
     return R.route_experts(_experts(table(spark, sf_dir, "events")), _requests(table(spark, sf_dir, "part")))
 
