@@ -90,6 +90,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores, such that no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def look_up(rows: DataFrame, named: DataFrame, on: str, total: int) -> DataFrame:
     """Left join of ``rows`` with staged ``named`` (one row for each ``on``, ``k`` of how many rows of ``rows`` it is).
 

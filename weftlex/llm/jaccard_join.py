@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import arrow_rows, components, dropped, lean, look_up, small_side, staged
+from .common import arrow_rows, components, dropped, free_name, lean, look_up, small_side, staged
 
 #: Documents on either side of a compared block.
 BLOCK_DOCS = 256
@@ -290,10 +290,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     gone = staged(own.join(first, "root").where("j <> first").select("j").distinct(), "gone")
     again = staged(own.join(first, "root").where("j = first").groupBy("j").count().where("count > 1").select("j"), "again")
     mark = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    kept = docs.join(small_side(gone.withColumnRenamed("j", "__gone")), mark == F.col("__gone"), "left_anti")
+    name = free_name(docs, "mark")
+    kept = docs.join(small_side(gone.withColumnRenamed("j", name)), mark == F.col(name), "left_anti")
     if not again.isEmpty():
-        repeated = small_side(again.withColumnRenamed("j", "__again"))
-        once = kept.join(repeated, mark == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
-        kept = kept.join(repeated, mark == F.col("__again"), "left_anti").unionByName(once)
+        repeated = small_side(again.withColumnRenamed("j", name))
+        once = kept.join(repeated, mark == F.col(name), "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(repeated, mark == F.col(name), "left_anti").unionByName(once)
     dropped(own, first)
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -23,9 +23,24 @@ MOST_SYMBOLS, MOST_CAPITALS = 7, 50
 SHORT, SHOUT = 15, 20
 LETTER = r"\p{L}"
 CAPITAL = r"\p{Lu}"
-TERMINAL = r"[.!?…:;,)\]}\x22\x27”’»0-9]\s*$"
-NAVIGATION = r"(?i)^\s*(home|menu|log ?in|sign (up|in)|next|previous|back to top|skip to content|share this|read more)\s*[.!»›>]*\s*$"
-BOILERPLATE = r"(?i)all rights reserved|cookie (policy|settings|preferences)|accept (all )?cookies|terms of (use|service)|privacy policy|enable javascript|subscribe to our newsletter"
+TERMINAL = r"[.!?…:;,)\]}\x22\x27”’»0-9。！？；：）」』؟۔।॥]\s*$"
+#: A line of which links hold more than half of the characters, or separators stand between few words, is navigation.
+LINK = r"(?:https?://|www\.)[^\x20\x09-\x0D]+"
+SEPARATOR = r"[|›»•·→←]"
+WORDS = r"[^\x20\x09-\x0D]+"
+# What navigation and boilerplate say in English, German, French and Spanish.
+NAVIGATION = (
+    r"(?i)^\s*(home|menu|log ?in|sign (up|in)|next|previous|back to top|skip to content|share this|read more"
+    r"|startseite|men[uü]|anmelden|registrieren|weiter|zurück|nach oben|teilen|mehr lesen|weiterlesen"
+    r"|accueil|connexion|s'inscrire|suivant|précédent|haut de page|partager|lire la suite"
+    r"|inicio|menú|iniciar sesión|registrarse|siguiente|anterior|volver arriba|compartir|leer más)\s*[.!»›>]*\s*$"
+)
+BOILERPLATE = (
+    r"(?i)all rights reserved|cookie (policy|settings|preferences)|accept (all )?cookies|terms of (use|service)|privacy policy|enable javascript|subscribe to our newsletter"
+    r"|alle rechte vorbehalten|cookie-(einstellungen|richtlinie)|cookies (akzeptieren|ablehnen)|nutzungsbedingungen|datenschutzerkl(ä|ae)rung|newsletter abonnieren"
+    r"|tous droits réservés|politique de (cookies|confidentialité)|accepter (tous )?les cookies|conditions (générales )?d'utilisation|abonnez-vous à notre"
+    r"|todos los derechos reservados|política de (cookies|privacidad)|aceptar (todas )?las cookies|términos (de uso|y condiciones)|suscríbete a nuestro"
+)
 
 
 def line_fails(line: Column) -> Column:
@@ -35,6 +50,8 @@ def line_fails(line: Column) -> Column:
         ~line.rlike(LETTER)
         | ((n <= F.lit(SHORT)) & ~line.rlike(TERMINAL))
         | ((n <= F.lit(60)) & line.rlike(NAVIGATION))
+        | (line.rlike(LINK) & (F.length(F.regexp_replace(line, F.lit(LINK), F.lit(""))) * 2 < n))
+        | (line.rlike(SEPARATOR) & (F.regexp_count(line, F.lit(SEPARATOR)) >= 2) & (F.regexp_count(line, F.lit(SEPARATOR)) * 4 >= F.regexp_count(line, F.lit(WORDS))))
         | (F.regexp_count(line, F.lit(SYMBOLS)) * 100 > n * MOST_SYMBOLS)
         | ((n >= F.lit(SHOUT)) & (F.regexp_count(line, F.lit(CAPITAL)) * 100 > n * MOST_CAPITALS))
         | line.rlike(BOILERPLATE)
@@ -119,6 +136,8 @@ g AS (SELECT r, count(*) - count(DISTINCT l) AS dup, sum(length(l)) AS total, su
   SELECT r, l, (NOT regexp_matches(l, {_sql_pattern(LETTER)}))
     OR (length(l) <= {SHORT} AND NOT regexp_matches(l, {_sql_pattern(TERMINAL)}))
     OR (length(l) <= 60 AND regexp_matches(l, {_sql_pattern(NAVIGATION)}))
+    OR (regexp_matches(l, {_sql_pattern(LINK)}) AND length(regexp_replace(l, {_sql_pattern(LINK)}, '', 'g')) * 2 < length(l))
+    OR (len(regexp_extract_all(l, {_sql_pattern(SEPARATOR)})) >= 2 AND len(regexp_extract_all(l, {_sql_pattern(SEPARATOR)})) * 4 >= len(regexp_extract_all(l, {_sql_pattern(WORDS)})))
     OR len(regexp_extract_all(l, {_sql_pattern(SYMBOLS)})) * 100 > length(l) * {MOST_SYMBOLS}
     OR (length(l) >= {SHOUT} AND len(regexp_extract_all(l, {_sql_pattern(CAPITAL)})) * 100 > length(l) * {MOST_CAPITALS})
     OR regexp_matches(l, {_sql_pattern(BOILERPLATE)}) AS bad

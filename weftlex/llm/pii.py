@@ -3,12 +3,14 @@
 High-recall generators propose overlapping spans; each gets format features (of
 the span) and context features (of the characters around it); boosted trees,
 one model for each kind, score it; a threshold calibrated on held-out samples
-selects.  Training samples are generated from seeded templates, TRAIN_SAMPLES
-for each kind, so that every executor and every run has the same model.
+selects.  Samples are generated from seeded templates in several layouts of
+text, TRAIN_SAMPLES for each kind, so that every executor and every run has the
+same model; trees, calibration and threshold each have samples of their own.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -24,14 +26,14 @@ from .common import arrow_rows, lean
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone")
-#: Labelled samples generated for each kind's model; a third of them calibrates.
+#: Labelled samples generated for the trees of each kind; a third as many calibrate, as many again set the threshold.
 TRAIN_SAMPLES = 3000
 #: Precision that a calibrated threshold must reach on the held-out samples.
 PRECISION = 0.98
 CONTEXT = 32
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -56,8 +58,9 @@ def base_spans(text: str) -> list[Span]:
     if "@" in text:
         past = 0
         for m in _DOMAIN.finditer(text):
-            at = m.start()
-            start = at - len(_LOCAL.match(text[past:at][::-1]).group())
+            at = start = m.start()
+            while start > past and text[start - 1] in _LOCAL:
+                start -= 1
             if start < at:
                 out.append((start, m.end(), "email"))
                 past = m.end()
@@ -196,7 +199,11 @@ class Boosted:
         return 1 / (1 + np.exp(-np.clip(a * self.raw(x) + b, -50, 50)))
 
 
-def _sample(kind: str, good: bool, rng: random.Random) -> str:
+#: Layouts that a sample stands in: prose, a form, a log line, an object, a table row, mark-up.
+LAYOUTS = ("{noise} {cue} {body}{stop}{word}", "{word}\n{cue}: {body}\n{noise}", "2024-03-05T10:11:12 {word} {cue}={body} {noise}", '{{"{word}": "{noise}", "{cue}": "{body}"}}', "{word},{cue},{body},{noise}", "<td>{cue}</td><td>{body}</td><p>{noise}</p>")
+
+
+def _sample(kind: str, good: bool, rng: random.Random, layout: str = LAYOUTS[0]) -> str:
     """A short text with personal data of the kind in an uncommon form, or with a look-alike."""
     n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9)))
@@ -221,7 +228,7 @@ def _sample(kind: str, good: bool, rng: random.Random) -> str:
         cue = other
     elif not good and rng.random() < 0.5:
         cue = other
-    return f"{noise} {cue} {body}{rng.choice([' ', '. ', ', '])}{word()}"
+    return layout.format(noise=noise, cue=cue, body=body, stop=rng.choice([" ", ". ", ", "]), word=word())
 
 
 @lru_cache(maxsize=4)
@@ -229,31 +236,59 @@ def models(samples: int = TRAIN_SAMPLES, precision: float = PRECISION) -> dict[s
     """Calibrated trees and the threshold that selects a redaction, by kind."""
     out = {}
     for kind in KINDS:
-        rng = random.Random(f"{kind}-samples")
-        x, y = [], []
-        for k in range(samples):
-            text = _sample(kind, good := k % 2 == 0, rng)
-            for span in candidates(text):
-                if span[2] == kind:
-                    x.append(features(text, span))
-                    y.append(good)
-        xs, ys = np.array(x, float), np.array(y, float)
-        held = np.arange(len(ys)) % 3 == 2
-        model = Boosted().fit(xs[~held], ys[~held]).calibrate(xs[held], ys[held])
-        p, truth = model.probability(xs[held]), ys[held]
-        order = np.argsort(-p)
+        x, y = _labelled(kind, samples, "trees")
+        model = Boosted().fit(x, y).calibrate(*_labelled(kind, samples // 3, "calibration"))
+        x, truth = _labelled(kind, samples // 3, "threshold")
+        p = model.probability(x)
+        order = np.argsort(-p, kind="stable")
         good_so_far = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
         enough = np.flatnonzero(good_so_far >= precision)
         out[kind] = (model, max(0.5, float(p[order][enough[-1]])) if len(enough) else 1.1)
     return out
 
 
+def _labelled(kind: str, n: int, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the candidates in n samples of a set; every set has a seed of its own."""
+    rng, x, y = random.Random(f"{kind} {name}"), [], []
+    for k in range(n):
+        text = _sample(kind, good := k % 2 == 0, rng, LAYOUTS[k // 2 % len(LAYOUTS)])
+        for span in candidates(text):
+            if span[2] == kind:
+                x.append(features(text, span))
+                y.append(good)
+    return np.array(x, float), np.array(y, float)
+
+
+class _Taken:
+    """Disjoint ranges in order, asked whether a span overlaps one of them."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect.bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def method_spans(text: str, base: list[Span], trained: dict | None = None) -> list[Span]:
     """Selected candidates that overlap neither a base span nor a likelier candidate."""
     found = candidates(text)
     if not found:
         return []
-    found = [s for s in found if not any(s[0] < b[1] and b[0] < s[1] for b in base)] if base else found
+    taken = _Taken(base)
+    found = [s for s in found if not taken.meets(s[0], s[1])]
     trained = trained or models()
     scored = []
     for kind in KINDS:
@@ -263,7 +298,8 @@ def method_spans(text: str, base: list[Span], trained: dict | None = None) -> li
             scored += [(p, s) for p, s in zip(model.probability(np.array([features(text, s) for s in own], float)), own, strict=True) if p >= least]
     out: list[Span] = []
     for _, s in sorted(scored, key=lambda x: (-x[0], x[1])):
-        if not any(s[0] < o[1] and o[0] < s[1] for o in out):
+        if not taken.meets(s[0], s[1]):
+            taken.add(s[0], s[1])
             out.append(s)
     return out
 
@@ -292,6 +328,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     whatever their length; rows are independent, so repeated ids and rows stay;
     other columns are not read; an empty table gives no rows.
     """
+    trained = models()
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +337,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for cell in batch.column(1):
                 text = cell.as_py() or ""
                 base = base_spans(text)
-                more = method_spans(text, base)
+                more = method_spans(text, base, trained)
                 for k, kind in enumerate(KINDS):
                     out[k].append(sum(s[2] == kind for s in base))
                 out[4].append(hashlib.sha256(listed(base).encode()).hexdigest())
@@ -314,7 +351,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans in ``text_col`` replaced by tags such as [EMAIL]; null stays null, other columns as they are."""
-    schema = docs.schema
+    schema, trained = docs.schema, models()
     at = docs.columns.index(text_col)
 
     @lean
@@ -325,7 +362,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 text = cell.as_py()
                 if text:
                     base = base_spans(text)
-                    spans = base + method_spans(text, base)
+                    spans = base + method_spans(text, base, trained)
                     text = redacted(text, spans) if spans else text
                 texts.append(text)
             cols = list(batch.columns)

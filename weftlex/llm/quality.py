@@ -192,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     some = rows.select("id").where("id IS NOT NULL").join(small_side(marks.select("id")), "id", "left_anti").distinct().orderBy(*order).limit(pool).toPandas()["id"]
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(int(i),) for i in pd.concat([known.index.to_series(), some])], "id long")
-    got = _sample_features(rows.join(F.broadcast(wanted), "id", "left_semi")).drop_duplicates("id").sort_values("id")
+    # of rows repeated under one id the least counts, so that models do not depend on the order of arrival
+    once = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min(F.struct(*_COLUMNS)).alias("r")).select("id", "r.*")
+    got = _sample_features(arrow_rows(once)).sort_values("id")
     t, m = (np.stack([np.frombuffer(x, np.float32) for x in got[c]]) if len(got) else np.zeros((0, 1), np.float32) for c in ("t", "m"))
     is_known = got["id"].isin(known.index).to_numpy()
     y = known.reindex(got["id"][is_known]).to_numpy(float)
@@ -226,14 +228,18 @@ def score(docs: DataFrame, models: Models | None, id_col: str = "doc_id", thresh
     return _inputs(docs, id_col).mapInArrow(run, "id long, text_score double, meta_score double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """Train on ``labels`` and score all of ``docs``; see train() and score()."""
-    return score(docs, train(docs, labels, id_col), id_col)
+    return score(docs, train(docs, labels, id_col, labelled=labelled, pool=pool), id_col)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more; columns unchanged."""
-    models = train(docs, labels, id_col)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more; columns unchanged.
+
+    Nulls count as in score(); repeated rows stay or go alike; without labels of
+    two classes all rows stay; an empty table gives no rows.
+    """
+    models = train(docs, labels, id_col, labelled=labelled, pool=pool)
     if models is None:
         return docs
     names = docs.columns

@@ -16,6 +16,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs shorter than the contract's least length are dropped by it, so they need not match here.
@@ -35,16 +37,30 @@ WORDS = (
 ).split()
 
 
+#: Words of other languages, for the same.
+OTHER_WORDS = (
+    "benutzer datei ordner zeile anfang ende suche antwort anfrage fehler nummer straße liste konto kunde rechnung bestellung seite name adresse utilisateur fichier dossier ligne debut recherche reponse"
+    " demande erreur numero compte client facture commande adresse usuario archivo carpeta linea inicio busqueda respuesta solicitud numero cuenta cliente factura pedido pagina direccion"
+).split()
+
+
 def samples(n: int, seed: str, secret: bool) -> list[str]:
-    """Labelled samples: random strings of several alphabets, or identifiers, paths and slugs of words."""
+    """Labelled samples: random strings of several alphabets; or identifiers, paths, slugs, numbered names, UUIDs and addresses."""
     rng, out = random.Random(seed), []
     for k in range(n):
         if secret:
             chars = (ALPHABET[:62], ALPHABET[:64], "0123456789abcdef", ALPHABET[:26] + "0123456789", ALPHABET[26:62])[k % 5]
             out.append("".join(rng.choice(chars) for _ in range(rng.randint(20, 48))))
+            continue
+        words = [rng.choice(WORDS if k % 4 else OTHER_WORDS) for _ in range(rng.randint(4, 8))]
+        form, tail = k % 9, str(rng.randrange(10 ** rng.randint(0, 4))) if k % 3 == 0 else ""
+        if form == 6:
+            out.append("-".join("".join(rng.choice("0123456789abcdef") for _ in range(m)) for m in (8, 4, 4, 4, 12)))
+        elif form == 7:
+            out.append("/".join(w if rng.random() < 0.7 else str(rng.randrange(10_000)) for w in words) + f"/{rng.randrange(2000, 2030)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}")
+        elif form == 8:
+            out.append("_".join(f"{w}{rng.randrange(100)}" for w in words))
         else:
-            words = [rng.choice(WORDS) for _ in range(rng.randint(4, 8))]
-            form, tail = k % 6, str(rng.randrange(10 ** rng.randint(0, 4))) if k % 3 == 0 else ""
             out.append(("_".join(words), "-".join(words), "".join(w.title() for w in words), words[0] + "".join(w.title() for w in words[1:]), "/".join(words), "_".join(words).upper())[form] + tail)
     return out
 
@@ -84,6 +100,35 @@ def trained(train: int = TRAIN, held: int = HELD) -> tuple[tuple[int, ...], int]
 # -- native spans ---------------------------------------------------------------
 
 
+#: Elements that a scan folds at a time: arrays grow to this length, not to that of the whole.
+SCAN = 64
+
+
+def _scan(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """emit(state, item) for each item in order, the state going from one to the next by step(state, item).
+
+    In two levels: the state at the start of each block of SCAN items, then
+    each block by itself.  One array that grows item by item would be copied
+    each time.
+    """
+    start = F.struct(zero.alias("now"), F.array().cast("array<int>").alias("at"))
+    none = F.array().cast(f"array<{kind}>")
+
+    def dealt(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(own) - 1) / SCAN).cast("int"))), lambda i: F.slice(own, i * SCAN + 1, F.lit(SCAN)))
+
+    def starts(blocks: Column) -> Column:
+        return F.aggregate(blocks, start, lambda acc, b: F.struct(F.aggregate(b, acc["now"], step).alias("now"), F.concat(acc["at"], F.array(acc["now"])).alias("at")), lambda acc: acc["at"])
+
+    def block(b: Column, now: Column) -> Column:
+        return F.aggregate(b, F.struct(now.alias("now"), none.alias("out")), lambda acc, x: F.struct(step(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(emit(acc["now"], x))).alias("out")), lambda acc: acc["out"])
+
+    return let(items, lambda own: let(dealt(own), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), block))))
+
+
+_SPAN = "struct<s:int,k:int,e:int,kind:string,h:string>"
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """All leftmost non-overlapping matches as (start, rank of kind, end, kind, matched text), by position.
 
@@ -91,20 +136,29 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     so running lengths give the positions in code points.
     """
     gaps, hits = F.transform(F.split(text, pattern, -1), F.length), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    empty = F.array().cast("array<struct<s:int,k:int,e:int,kind:string,h:string>>")
+    pairs = let(hits, lambda own: F.zip_with(F.slice(gaps, F.lit(1), F.size(own)), own, lambda g, h: F.struct(g.alias("g"), h.alias("h"))))
+    empty = F.array().cast(f"array<{_SPAN}>")
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["g"]
-        end = start + F.length(p["h"])
-        one = F.array(F.struct(start.alias("s"), F.lit(KINDS.index(kind)).alias("k"), end.alias("e"), F.lit(kind).alias("kind"), p["h"].alias("h")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+    def emit(at: Column, p: Column) -> Column:
+        start = at + p["g"]
+        return F.struct(start.alias("s"), F.lit(KINDS.index(kind)).alias("k"), (start + F.length(p["h"])).alias("e"), F.lit(kind).alias("kind"), p["h"].alias("h"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    found = _scan(pairs, F.lit(0), lambda at, p: at + p["g"] + F.length(p["h"]), emit, _SPAN)
     found = F.filter(found, keep) if keep else found
     return F.when(F.regexp(text, F.lit(pattern)), found).otherwise(empty)
 
 
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span: all are gone through by position, once from either end."""
+    last = F.lit((1 << 31) - 1)
+    is_token = lambda x: x["k"] == len(KINDS) - 1
+    flag = lambda x, hit: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["kind"].alias("kind"), F.when(is_token(x) & hit, F.lit(None)).otherwise(x["h"]).alias("h"))
+    ordered = F.sort_array(F.concat(tokens, base))
+    forth = _scan(ordered, F.lit(0), lambda end, x: F.when(is_token(x), end).otherwise(F.greatest(end, x["e"])), lambda end, x: flag(x, x["s"] < end), _SPAN)
+    back = _scan(F.reverse(forth), last, lambda start, x: F.when(is_token(x), start).otherwise(x["s"]), lambda start, x: flag(x, x["e"] > start), _SPAN)
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(F.sort_array(F.filter(back, lambda x: is_token(x) & x["h"].isNotNull())))
+
+
 def _ratio_per_pair(s: Column) -> Column:
     """Whether the log-likelihood ratio of ``s``, whole thousandths, reaches the threshold times its pairs."""
     table, least = trained()
@@ -146,8 +200,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         }
     )
     df = df.withColumn("base", F.concat("assign", "access", "hex"))
-    apart = lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"]))
-    df = df.withColumn("apart", F.filter("tokens", apart)).withColumn("markov", F.filter("apart", lambda x: _ratio_per_pair(x["h"])))
+    df = df.withColumn("apart", _apart(F.col("tokens"), F.col("base"))).withColumn("markov", F.filter("apart", lambda x: _ratio_per_pair(x["h"])))
     return df.select(
         F.col("id").alias(id_col),
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),

@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, lean, small_side, staged
+from .common import arrow_rows, free_name, lean, small_side, staged
 
 from . import wordhash
 
 #: Bytes of item text that are compared in one pass over the documents.
 BLOCK_TEXT = 8 << 20
+#: Pairs of matching positions of a document and an item that are listed at once.
+PAIRS = 1 << 21
+#: Letters of scripts that put no space between words: each is a token by itself.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -37,6 +41,8 @@ def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, min_match: int) ->
     order = np.argsort(runs_i, kind="stable")
     lo, hi = np.searchsorted(runs_i[order], runs_d, "left"), np.searchsorted(runs_i[order], runs_d, "right")
     n = hi - lo
+    if n.sum() > PAIRS:
+        return _searched_tiles(doc, item, min_match)
     t = np.repeat(at, n)
     p = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if n.sum() else t
     if not len(t):
@@ -63,11 +69,57 @@ def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, min_match: int) ->
     return out
 
 
+def _searched_tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """The same tiling where too many pairs of positions match to be listed: memory grows with the texts alone.
+
+    The longest match of unmarked tokens is found by halving its length, with
+    Karp-Rabin hashes of all runs of a length; a tile marks at least
+    ``min_match`` tokens of the item, which bounds the searches.
+    """
+    n, m = len(doc), len(item)
+    p, q = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, m), base, np.uint64)]), dtype=np.uint64) for base in (wordhash._P, wordhash._PINV))
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mix(x) * p[: len(x)], dtype=np.uint64)]) for x in (doc, item)]
+    used, out, most = [np.zeros(n, np.int64), np.zeros(m, np.int64)], [], min(n, m)
+
+    def common(size: int) -> tuple[int, int] | None:
+        found = []
+        for s, u in zip(sums, used, strict=True):
+            count = len(u) - size + 1
+            if count < 1:
+                return None
+            marks = np.concatenate([[0], np.cumsum(u)])
+            free = np.flatnonzero(marks[size:] == marks[:count])
+            found.append((free, ((s[size:] - s[:count]) * q[:count])[free]))
+        (at, left), (pos, right) = found
+        hit = np.flatnonzero(np.isin(right, left))
+        return (int(pos[hit[0]]), int(at[np.flatnonzero(left == right[hit[0]])[0]])) if len(hit) else None
+
+    while most >= min_match and (best := common(min_match)):
+        low, high = min_match, most
+        while low < high:
+            half = (low + high + 1) // 2
+            if found := common(half):
+                low, best = half, found
+            else:
+                high = half - 1
+        a, b = best
+        used[1][a : a + low] = used[0][b : b + low] = 1
+        out.append((a, b, low))
+        most = low
+    return out
+
+
 def _matcher(items: list[tuple[int, str]], min_match: int, percent: int):
     """mapInArrow: (id, lower-cased text) to one row for each item that the text covers."""
     column = pa.array([x[1] for x in items], pa.string())
     held = [(items[first + i][0], hashes[a:b]) for first, _, hashes, bounds in wordhash.words(column, wordhash.NON_ALNUM) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-    held = [(k, h.copy()) for k, h in held if len(h) >= min_match]
+    every = [(k, h.copy()) for k, h in held]
+    held = [(k, h) for k, h in every if len(h) >= min_match]
+    # a shorter item is one run of its own length
+    short: dict[int, dict[int, list[int]]] = {}
+    for k, h in every:
+        if 0 < len(h) < min_match:
+            short.setdefault(len(h), {}).setdefault(int(wordhash.windows(h, len(h))[0]), []).append(k)
     runs = [wordhash.windows(h, min_match) for _, h in held]
     flat = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
@@ -82,6 +134,13 @@ def _matcher(items: list[tuple[int, str]], min_match: int, percent: int):
         for batch in batches:
             ids, out = batch.column(0), []
             for first, _, hashes, bounds in wordhash.words(batch.column(1), wordhash.NON_ALNUM):
+                for size, known in short.items():
+                    runs_of = wordhash.windows(hashes, size)
+                    hit = np.flatnonzero(np.isin(runs_of, np.fromiter(known, np.uint64, len(known))))
+                    row = np.searchsorted(bounds, hit, "right") - 1
+                    inside = hit + size <= bounds[row + 1]
+                    for r, h in sorted({(int(r), int(runs_of[i])) for r, i in zip(row[inside], hit[inside], strict=True)}):
+                        out += [(ids[first + r].as_py(), k, size, size, 1) for k in known[h]]
                 doc_runs = wordhash.windows(hashes, min_match)
                 hit = np.flatnonzero(sieve[doc_runs >> np.uint64(64 - bits)])
                 lo, hi = np.searchsorted(flat, doc_runs[hit], "left"), np.searchsorted(flat, doc_runs[hit], "right")
@@ -105,23 +164,25 @@ def _matcher(items: list[tuple[int, str]], min_match: int, percent: int):
                             out.append((ids[first + r].as_py(), name, covered, len(item), len(found)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["id", "item_id", "covered", "item_tokens", "tiles"])
 
-    return run if held else None
+    return run if every else None
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = 5, percent: int = 50) -> DataFrame:
     """(id_col, item_id, covered, item_tokens, tiles, coverage): a row for each document and item that it covers.
 
     A document covers an item when tiles of at least ``min_match`` tokens mark
-    ``percent`` of the item's tokens or more.  Items of fewer tokens are too
-    short to tell and are covered by nothing; a null or empty text covers
-    nothing; two items of equal text give two rows; repeated rows of ``docs``
+    ``percent`` of the item's tokens or more.  An item of fewer tokens than that
+    is covered where all of it stands as one run; one without a token, and a
+    null or empty text, cover nothing; letters of unspaced scripts are tokens by
+    themselves; two items of equal text give two rows; repeated rows of ``docs``
     give repeated rows; other columns are not read.  Empty tables give no rows.
-    The items are taken in blocks of BLOCK_TEXT bytes, each held against all
-    documents, so no size of benchmark is broadcast at once.
+    The items are read to the driver in blocks of BLOCK_TEXT bytes, each shipped
+    with a pass over all documents: passes grow with the benchmark, tasks do not.
     """
+    lowered = lambda c: F.when(c.rlike(UNSPACED), F.regexp_replace(c, F.lit(UNSPACED), F.lit(" $1 "))).otherwise(c)
     spark = docs.sparkSession
-    source = arrow_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("k"), F.lower(F.col(item_text).cast("string")).alias("text")).where("k IS NOT NULL AND text IS NOT NULL")
+    source = arrow_rows(docs).select(F.col(id_col).cast("long").alias("id"), lowered(F.lower(F.col(text_col).cast("string"))).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("k"), lowered(F.lower(F.col(item_text).cast("string"))).alias("text")).where("k IS NOT NULL AND text IS NOT NULL")
     blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_TEXT) + 1
     schema, parts = "id long, item_id long, covered long, item_tokens long, tiles long", []
     for b in range(blocks):
@@ -133,6 +194,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that cover no item (columns unchanged); a row with a null id stays."""
-    hit = staged(contaminated(docs, benchmark, id_col, text_col, **kw).select(id_col).distinct(), "contaminated")
-    return docs.join(small_side(hit), id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that cover no item; columns unchanged.
+
+    Rows are told apart by a hash of id and text, so that of rows repeated under
+    one id, or without an id, each is judged by its own text.
+    """
+    mark = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    name = free_name(docs, "mark")
+    marked = docs.select(mark.alias(name), F.col(text_col).alias("text_of_mark"))
+    hit = staged(contaminated(marked, benchmark, name, "text_of_mark", **kw).select(name).distinct(), "contaminated")
+    return docs.join(small_side(hit), mark == F.col(name), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

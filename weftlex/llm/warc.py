@@ -23,6 +23,8 @@ from .common import arrow_rows, scratch, small_side, staged
 
 #: Bytes of a record's block beyond which it is segmented, and of a chunk of the transfer coding.
 SEGMENT_BYTES, CHUNK_BYTES = 48 << 10, 16 << 10
+#: About the size of an archive file, which a reader takes as one value.
+ARCHIVE_BYTES = 32 << 20
 #: A payload this long may be stored as a reference to an equal one.
 REVISIT_BYTES = 1000
 _DATE = "2024-01-01T00:00:00Z"
@@ -151,7 +153,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         number = F.row_number().over(Window.partitionBy("id", "sha1").orderBy("url"))
         out = out.where(df["k"].isNull() | (df["k"] == 1)).unionByName(df.where("k > 1").select(*cols, number.alias("ordinal")))
     raw = out.mapInArrow(run, "value binary")
-    raw.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    mean = keys.agg(F.avg(F.least("n", F.lit(SEGMENT_BYTES)))).first()[0] or 0.0
+    each = max(64, int(ARCHIVE_BYTES / (mean + 1000)))
+    raw.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", each).text(path)
 
 
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
