@@ -27,8 +27,8 @@ from . import wordhash
 BLOCK_TEXT = 8 << 20
 #: Pairs of matching positions of a document and an item that are listed at once.
 PAIRS = 1 << 21
-#: Letters of scripts that put no space between words: each is a token by itself.
-UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: Letters of scripts that put no space between words (Thai, Lao, Myanmar, Khmer, kana, Han): each is a token by itself.
+UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
