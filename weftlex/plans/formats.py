@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +13,15 @@ from .corpus import _sql_ngrams
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: the cluster's shared one, or a local one in tests."""
+    """A new folder where all executors can write: under the cluster's shared one; in local mode under the warehouse."""
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/formats-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="weftlex-")
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{shared.rstrip('/')}/formats-{uuid.uuid4().hex}"
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
