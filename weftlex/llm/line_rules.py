@@ -7,6 +7,8 @@ text is rejected.  The contract's base statistics are taken of the whole text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +48,14 @@ BOILERPLATE = (
 def line_fails(line: Column) -> Column:
     """Whether a line that has a word is removed."""
     n = F.length(line)
+    # plain searches come first: most lines have neither a link nor a separator
+    has = lambda *parts: reduce(lambda a, b: a | b, (F.contains(line, F.lit(p)) for p in parts))
     return (
         ~line.rlike(LETTER)
         | ((n <= F.lit(SHORT)) & ~line.rlike(TERMINAL))
         | ((n <= F.lit(60)) & line.rlike(NAVIGATION))
-        | (line.rlike(LINK) & (F.length(F.regexp_replace(line, F.lit(LINK), F.lit(""))) * 2 < n))
-        | (line.rlike(SEPARATOR) & (F.regexp_count(line, F.lit(SEPARATOR)) >= 2) & (F.regexp_count(line, F.lit(SEPARATOR)) * 4 >= F.regexp_count(line, F.lit(WORDS))))
+        | (has("http", "www.") & line.rlike(LINK) & (F.length(F.regexp_replace(line, F.lit(LINK), F.lit(""))) * 2 < n))
+        | (has(*SEPARATOR[1:-1]) & (F.regexp_count(line, F.lit(SEPARATOR)) >= 2) & (F.regexp_count(line, F.lit(SEPARATOR)) * 4 >= F.regexp_count(line, F.lit(WORDS))))
         | (F.regexp_count(line, F.lit(SYMBOLS)) * 100 > n * MOST_SYMBOLS)
         | ((n >= F.lit(SHOUT)) & (F.regexp_count(line, F.lit(CAPITAL)) * 100 > n * MOST_CAPITALS))
         | line.rlike(BOILERPLATE)
