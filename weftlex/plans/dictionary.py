@@ -1,8 +1,8 @@
 """Dictionary queries over a lexicon derived from the test tables.
 
 Headwords are the distinct words of the benchmark items; a word is defined by
-every item that it opens a sentence of.  N-gram words are those of the items'
-bigrams.
+every item that it opens a sentence of.  N-gram words are those of all
+conversations, of which the items share only some.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ c AS (SELECT ordinal, surface, 'noun' AS part_of_speech, definition, 'custom' AS
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, source_sense_key, normalized ORDER BY ordinal) AS rn FROM c) WHERE rn = 1),
 u AS (SELECT ordinal, unnest(regexp_extract_all(definition, {_WORD})) AS definition_surface, generate_subscripts(regexp_extract_all(definition, {_WORD}), 1) - 1 AS position FROM s),
 un AS (SELECT *, {_N.format('definition_surface')} AS n FROM u),
-g AS (SELECT item_id AS ordinal, unnest(regexp_extract_all(text, {_WORD})) AS surface FROM benchmark WHERE item_id % 2 = 0),
+g AS (SELECT {{'c': conv_id, 't': turn}} AS ordinal, unnest(regexp_extract_all(text, {_WORD})) AS surface FROM conversations),
 gn AS (SELECT g.*, {_N.format('surface')} AS normalized FROM g),
 w0 AS (SELECT normalized, max_by(surface, ordinal) AS s1, NULL AS s2, NULL AS s3 FROM s GROUP BY 1 UNION ALL SELECT normalized, NULL, min(surface), NULL FROM (SELECT *, rank() OVER (PARTITION BY normalized ORDER BY ordinal, surface) AS k FROM gn) WHERE k = 1 GROUP BY 1
   UNION ALL SELECT n, NULL, NULL, first(definition_surface ORDER BY ordinal, position) FROM un GROUP BY 1),
@@ -48,8 +48,8 @@ edges AS (SELECT sense_row, CAST(position AS INTEGER) AS position, definition_su
 
 def _ngram_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ordinal, surface), one row for each spelling: of equal ordinals the least spelling comes first."""
-    found = table(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select("item_id", F.explode(T.words(F.col("text"))).alias("surface"))
-    return found.groupBy("surface").agg(F.min("item_id").alias("item")).select(F.struct("item", "surface").alias("ordinal"), "surface")
+    found = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.explode(T.words(F.col("text"))).alias("surface"))
+    return found.groupBy("surface").agg(F.min("at").alias("at")).select(F.struct("at", "surface").alias("ordinal"), "surface")
 
 
 def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

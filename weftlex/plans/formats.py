@@ -108,12 +108,12 @@ def stream_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").groupBy("text").agg(F.sum("frequency").alias("frequency"))
 
 
-@query("SELECT vec_id AS row_index, vec_id // 100 AS shard_index, vec_id % 100 AS local_row FROM embeddings WHERE vec_id % 7 = 0")
+@query("SELECT vec_id AS row_index, vec_id // 100 AS shard_index, vec_id % 100 AS local_row FROM embeddings")
 def vector_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     e = table(spark, sf_dir, "embeddings").select(F.lit("bank").alias("bank_name"), F.col("vec_id").alias("row_index"), "embedding")
     files.write_bank(files.checked_width(e, "embedding", 64), path, 100)
-    wanted = e.where("row_index % 7 = 0").select("bank_name", "row_index")
+    wanted = e.select("bank_name", "row_index")
     return files.read_rows(spark.read.parquet(path), wanted).select("row_index", F.col("shard_index").cast("long").alias("shard_index"), "local_row")
 
 

@@ -249,13 +249,15 @@ def pca_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.project(v, S.balanced_pca(S.moments(v, "v", 64), 32), "v").select("vec_id", V.tidy(F.col("cosine")).alias("cosine"))
 
 
-_RATIOS = "r AS (SELECT p_partkey AS rank, p_size / (SELECT sum(p_size) FROM part WHERE p_partkey <= 64)::DOUBLE AS ratio FROM part WHERE p_partkey <= 64)"
+_RATIOS = f"{_V}, u AS (SELECT {_unit('v')} AS u FROM v), d AS (SELECT i, avg(u[i] * u[i]) - avg(u[i]) * avg(u[i]) AS d FROM (SELECT *, unnest(range(1, 65)) AS i FROM u) GROUP BY i), r AS (SELECT row_number() OVER (ORDER BY d DESC, i) AS rank, d / sum(d) OVER () AS ratio FROM d)"
 
 
-@query(f"WITH {_RATIOS}, c AS (SELECT rank, sum(ratio) OVER (ORDER BY rank) AS c FROM r), u AS (SELECT * FROM c WHERE rank IN (16, 32, 64)) SELECT rank, {_r('c')} AS explained, c >= 0.7 AS reached FROM u ORDER BY (c >= 0.7) DESC, CASE WHEN c >= 0.7 THEN rank ELSE -rank END LIMIT 1")
+@query(f"WITH {_RATIOS}, c AS (SELECT rank, sum(ratio) OVER (ORDER BY rank) AS c FROM r), k AS (SELECT * FROM c WHERE rank IN (16, 32, 64)) SELECT rank, {_r('c')} AS explained, c >= 0.7 AS reached FROM k ORDER BY (c >= 0.7) DESC, CASE WHEN c >= 0.7 THEN rank ELSE -rank END LIMIT 1")
 def rank_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey <= 64")
-    ratios = p.join(p.agg(F.sum("p_size").alias("z"))).select(F.col("p_partkey").alias("rank"), (F.col("p_size") / F.col("z")).alias("ratio"))
+    # the variances of the 64 coordinates over all vectors, largest first
+    own = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("second", i * 65) - F.get("mean", i) * F.get("mean", i))
+    spectrum = F.transform(F.array_sort(F.transform(own, lambda x: -x)), lambda x: -x)
+    ratios = S.moments(_vectors(spark, sf_dir), "v", 64).select(spectrum.alias("s")).select(F.posexplode(F.transform("s", lambda x: x / V.total(F.col("s")))).alias("i", "ratio")).select((F.col("i") + 1).alias("rank"), "ratio")
     return S.select_rank(ratios, 0.7).select("rank", V.tidy(F.col("explained")).alias("explained"), "reached")
 
 
