@@ -10,6 +10,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftlex.llm import bpe, jaccard_join, pii, quality, queries, secrets, sharding, tiling, warc, wordhash
 
@@ -245,12 +246,58 @@ def test_co_training_takes_pool_rows():
     a, b = (rng.normal(size=(60, 4)) + y[:, None] * 2 for _ in range(2))
     py = np.arange(400) % 2
     pool = tuple(rng.normal(size=(400, 4)) + py[:, None] * 2 for _ in range(2))
-    alone, together = (quality.co_train((a, b), y.astype(float), np.arange(60) % 5 == 3, pool, rounds=r) for r in (0, 3))
+
+    def pick(models, n):
+        label = quality.sure_of(models, pool)
+        at = [np.flatnonzero(x >= 0)[:n] for x in label]
+        both = np.concatenate(at)
+        return pool[0][both], pool[1][both], np.repeat([0, 1], [len(x) for x in at]), np.concatenate([x[i] for x, i in zip(label, at, strict=True)]).astype(float)
+
+    alone, together = (quality.co_train((a, b), y.astype(float), np.arange(60) % 5 == 3, pick, rounds=r) for r in (0, 3))
     assert not np.allclose(alone[0].w, together[0].w)
     p = quality.combined(together, pool)[2]
     assert ((p >= 0.5) == py).mean() > 0.95
 
 
+def test_pseudo_labels_come_from_all_rows(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    models = quality.train(docs, labels, rounds=0)[:2]
+    # a third of the rows are one row without an id, and five rows come from a source of their own
+    rare = docs.orderBy("doc_id").limit(5).withColumn("source", F.lit("rare")).withColumn("doc_id", F.col("doc_id") + 10_000)
+    hot = docs.orderBy(F.desc("doc_id")).limit(1).withColumn("doc_id", F.lit(None).cast("long")).crossJoin(spark.range(500)).drop("id")
+    rows = quality._inputs(docs.unionByName(rare).unionByName(hot).repartition(7), "doc_id")
+
+    # brute force: the rows that each view is sure of, all at once
+    plain = rows.select("*", F.xxhash64("id", *quality._COLUMNS).alias("key")).dropDuplicates(["key"]).toPandas()
+    batch = pa.RecordBatch.from_pandas(plain[["id", *quality._COLUMNS]].astype({"id": "Int64"}), preserve_index=False)
+    views = quality.view_features(batch)
+    want = {(k, int(key)): int(x) for k, label in enumerate(quality.sure_of(models, views)) for key, x in zip(plain["key"], label, strict=True) if x >= 0}
+
+    pick = quality.corpus_pick(rows, (0.5, 0.5))
+    t, m, teacher, label = pick(models, 10**6)
+    assert len(label) == len(want) and t.shape[1] == views[0].shape[1] and m.shape[1] == views[1].shape[1]
+    for k in (0, 1):
+        for x in (0, 1):
+            mine = sorted(i for i, key in enumerate(plain["key"]) if want.get((k, int(key))) == x)
+            assert sorted(map(bytes, m[(teacher == k) & (label == x)])) == sorted(bytes(views[1][i]) for i in mine)
+    assert len(pick(models, 10**6)[3]) == 0  # all are given
+
+    few = quality.corpus_pick(rows, (0.2, 0.8))
+    _, m, teacher, label = few(models, 100)
+    sizes = [((teacher == k) & (label == x)).sum() for k in (0, 1) for x in (0, 1)]
+    assert all(5 <= a <= 45 for a in sizes[::2]) and all(50 <= a <= 120 for a in sizes[1::2])
+
+
+def test_level_fills_small_strata_first():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        counts, total = rng.integers(1, 50, rng.integers(1, 20)), float(rng.integers(1, 600))
+        at = quality.level(counts, total)
+        assert np.isclose(np.minimum(counts, at).sum(), min(total, counts.sum()))
+    assert quality.level(np.array([]), 5) == 0
+
+
 def test_chunks_and_segments(spark):
     for body in (b"", b"x", b"ab" * 40_000):
         assert warc.dechunked(warc.chunked(body, 7)) == body

@@ -3,15 +3,16 @@
 The text view sees what is written (hashed byte pairs and how often words
 recur); the metadata view sees what is recorded about a row and its layout
 (language, source, recorded and actual length, lines, case and symbol shares).
-Logistic models of the two views start from labelled documents and, for some
-rounds, each adds the pool documents it is surest of to the other's training
-rows.  Both are calibrated on held-out labels, and a model over the two
-calibrated log-odds scores every document.
+Logistic models of the two views start from labelled documents.  In every round
+both score the whole corpus, and of the documents that one is sure of some are
+added to the other's training rows: as many from each language and source, by
+a hash of the row.  Both are calibrated on held-out labels, and a model over
+the two calibrated log-odds scores every document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import arrow_rows, lean, small_side
-
-#: Labelled and unlabelled documents used for training: the first of each by a hash of the id.
-LABELLED, POOL = 6000, 4000
-#: Rounds of co-training, and the share of the pool that each view labels in a round, by class share.
-ROUNDS, SURE = 3, 0.1
+from .common import arrow_rows, lean
+
+#: Labelled documents used for training: the first by a hash of the id.
+LABELLED = 6000
+#: Rounds of co-training, and the calibrated probability from which a view is sure of a class.
+ROUNDS, SURE = 3, 0.9
+#: Pseudo-labels that a view gives in a round, for each labelled training row.
+GIVEN = 0.25
+#: Hash buckets of languages and of sources.
+LANGS, SOURCES = 16, 32
 PAIRS = 512
 #: Bytes of a text turned into features at a time.
 PIECE = 1 << 18
@@ -123,35 +128,49 @@ class Logistic:
 Models = tuple[Logistic, Logistic, Logistic]
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, sure: float = SURE) -> Models:
-    """Two calibrated view models and their combination; ``held`` marks labelled rows kept for these."""
+#: From models of both views: features of both views, the view that is sure (0 or 1), and its label, one of each for a row.
+Pick = Callable[[tuple[Logistic, Logistic], int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, pick: Pick, rounds: int = ROUNDS) -> Models:
+    """Two calibrated view models and their combination; ``held`` marks labelled rows kept for these.
+
+    ``pick(models, n)`` gives about ``n`` rows for each view, split by the class shares; see corpus_pick().
+    """
     own = [(v[~held], y[~held], np.ones((~held).sum())) for v in views]
-    left = np.ones(len(pool[0]), bool)
-    share = float(np.clip(y[~held].mean(), 0.02, 0.98))
-    models = tuple(Logistic().fit(*o) for o in own)
+
+    def fitted() -> tuple[Logistic, Logistic]:
+        return tuple(Logistic().fit(*o).calibrate(v[held], y[held]) for o, v in zip(own, views, strict=True))
+
+    models = fitted()
     for _ in range(rounds):
-        at = np.flatnonzero(left)
-        if len(at) < 10:
+        *found, teacher, label = pick(models, round(GIVEN * int((~held).sum())))
+        if not len(label):
             break
-        taken: list[np.ndarray] = []
         for k in (0, 1):
-            z = models[k].raw(pool[k][at])
-            order = np.argsort(z, kind="stable")
-            low = order[: int(sure * len(at) * (1 - share))]
-            high = order[len(order) - int(sure * len(at) * share) :]
-            low, high = low[z[low] < -1], high[z[high] > 1]
-            pick, label = at[np.concatenate([low, high])], np.concatenate([np.zeros(len(low)), np.ones(len(high))])
-            x, t, w = own[1 - k]
-            own[1 - k] = (np.vstack([x, pool[1 - k][pick]]), np.concatenate([t, label]), np.concatenate([w, np.full(len(pick), 0.5)]))
-            taken.append(pick)
-        left[np.concatenate(taken)] = False
-        models = tuple(Logistic().fit(*o) for o in own)
-    for m, v in zip(models, views, strict=True):
-        m.calibrate(v[held], y[held])
+            mine, (x, t, w) = teacher == 1 - k, own[k]
+            own[k] = (np.vstack([x, found[k][mine]]), np.concatenate([t, label[mine]]), np.concatenate([w, np.full(mine.sum(), 0.5)]))
+        models = fitted()
     odds = np.stack([m.log_odds(v[held]) for m, v in zip(models, views, strict=True)], axis=1)
     return *models, Logistic().fit(odds, y[held])
 
 
+def sure_of(models: tuple[Logistic, Logistic], views: tuple[np.ndarray, np.ndarray], sure: float = SURE) -> list[np.ndarray]:
+    """For each view 1 where it is sure of a good document, 0 where of a bad one, else -1."""
+    at = np.log(sure / (1 - sure))
+    return [np.where(z >= at, 1, np.where(z <= -at, 0, -1)) for z in (m.log_odds(v) for m, v in zip(models, views, strict=True))]
+
+
+def level(counts: np.ndarray, total: float) -> float:
+    """The level at which min(counts, level) sum to ``total``: each stratum gives as many, or all that it has."""
+    c = np.sort(np.asarray(counts, float))
+    for i, x in enumerate(c):
+        if x * (len(c) - i) >= total:
+            return total / (len(c) - i)
+        total -= x
+    return float(c[-1]) if len(c) else 0.0
+
+
 def combined(models: Models, views: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Probability of a good document by the text view, the metadata view and both."""
     a, b = (m.log_odds(v) for m, v in zip(models[:2], views, strict=True))
@@ -167,41 +186,104 @@ def _inputs(docs: DataFrame, id_col: str) -> DataFrame:
     return arrow_rows(docs).select(F.col(id_col).cast("long").alias("id"), *((F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in _COLUMNS.items()))
 
 
+_FEATURES = "t binary, m binary"
+
+
+def _packed(views: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+    return [pa.array([x.tobytes() for x in v], pa.binary()) for v in views]
+
+
+def _unpacked(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.stack([np.frombuffer(x, np.float32) for x in got[c]]) if len(got) else np.zeros((0, 1), np.float32) for c in ("t", "m"))
+
+
 def _sample_features(rows: DataFrame) -> pd.DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, m = view_features(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=["id", "t", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_packed(view_features(batch))], names=["id", "t", "m"])
 
-    return rows.mapInArrow(run, "id long, t binary, m binary").toPandas()
+    return rows.mapInArrow(run, f"id long, {_FEATURES}").toPandas()
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Models | None:
-    """The two view models from a bounded sample; None where labels hold fewer than two classes.
+def corpus_pick(rows: DataFrame, shares: tuple[float, float], sure: float = SURE) -> Pick:
+    """Pseudo-labels from all ``rows`` (id, text, lang, source, n_chars) for co_train().
 
-    Of several labels of one id the mean counts, ties as good.  Ids and labels
-    that are null are left out.
+    Both views score every row, and what each is sure of is counted by class and
+    stratum (language and source).  The counts give every stratum a share of the
+    hash range such that strata give equally many, or all that they have; a
+    second pass makes features of the rows under it only.  What reaches the
+    driver is at most 4 counts a stratum and about ``n`` rows a view.  A row is
+    known by a hash of all its columns: equal rows count once, are given once,
+    and are not given again in a later round.
+    """
+    stratum = F.pmod(F.xxhash64("lang"), F.lit(LANGS)) * SOURCES + F.pmod(F.xxhash64("source"), F.lit(SOURCES))
+    whole = rows.select("id", *_COLUMNS, F.xxhash64("id", *_COLUMNS).alias("key"), stratum.cast("int").alias("stratum"))
+    taken, turn = np.zeros(0, np.int64), 0
+
+    def pick(models: tuple[Logistic, Logistic], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal taken, turn
+        past, turn = taken, turn + 1
+        keyed = whole.withColumn("u", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 53)) / float(1 << 53))
+
+        def sure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray], int, np.ndarray, np.ndarray]]:
+            for some_rows in batches:
+                for k in range(0, some_rows.num_rows, 1000):
+                    batch = some_rows.slice(k, 1000)
+                    views, new = view_features(batch), ~np.isin(batch.column("key").to_numpy(), past)
+                    for teacher, label in enumerate(sure_of(models, views, sure)):
+                        yield batch, views, teacher, (label >= 0) & new, batch.column("stratum").to_numpy() * 2 + label
+
+        @lean
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, teacher, mine, code in sure_rows(batches):
+                codes, found = np.unique(code[mine], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), teacher), pa.int32()), pa.array(codes, pa.int32()), pa.array(found, pa.int64())], names=["teacher", "code", "n"])
+
+        counts = keyed.mapInArrow(count, "teacher int, code int, n long").groupBy("teacher", "code").agg(F.sum("n").alias("n")).toPandas()
+        cut = np.zeros((2, LANGS * SOURCES * 2))
+        for (teacher, label), own in counts.groupby([counts["teacher"], counts["code"] % 2]):
+            cut[teacher, own["code"]] = np.minimum(1, level(own["n"].to_numpy(), n * shares[label]) / own["n"].to_numpy())
+        most = cut.max(0).reshape(-1, 2).max(1)
+        some = rows.sparkSession.createDataFrame([(int(i), float(most[i])) for i in np.flatnonzero(most)], "stratum int, most double")
+
+        @lean
+        def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, views, teacher, mine, code in sure_rows(batches):
+                at = np.flatnonzero(mine & (batch.column("u").to_numpy() < cut[teacher, np.maximum(code, 0)]))
+                given = [batch.column("key").take(pa.array(at)), pa.array(np.full(len(at), teacher), pa.int32()), pa.array(code[at] % 2, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*given, *_packed(tuple(v[at] for v in views))], names=["key", "teacher", "label", "t", "m"])
+
+        under = keyed.join(F.broadcast(some), "stratum").where("u < most").select(*keyed.columns)
+        got = under.mapInArrow(give, f"key long, teacher int, label int, {_FEATURES}").dropDuplicates(["key", "teacher"]).toPandas().sort_values(["teacher", "key"])
+        taken = np.union1d(taken, got["key"].to_numpy(np.int64))
+        return *_unpacked(got), got["teacher"].to_numpy(), got["label"].to_numpy(float)
+
+    return pick
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS) -> Models | None:
+    """The two view models, from a bounded sample of labelled rows and pseudo-labels of the whole corpus.
+
+    None where labels hold fewer than two classes.  Of several labels of one id
+    the mean counts, ties as good.  Ids and labels that are null are left out;
+    rows of null id, and labelled rows outside the sample, are unlabelled.
     """
     rows = _inputs(docs, id_col)
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    order = [F.xxhash64(F.col("id"), F.lit(7)), "id"]
-    known = marks.orderBy(*order).limit(labelled).toPandas().set_index("id")["y"]
+    known = marks.orderBy(F.xxhash64(F.col("id"), F.lit(7)), "id").limit(labelled).toPandas().set_index("id")["y"]
     if known.nunique() < 2:
         return None
-    some = rows.select("id").where("id IS NOT NULL").join(small_side(marks.select("id")), "id", "left_anti").distinct().orderBy(*order).limit(pool).toPandas()["id"]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(int(i),) for i in pd.concat([known.index.to_series(), some])], "id long")
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in known.index], "id long"))
     # of rows repeated under one id the least counts, so that models do not depend on the order of arrival
-    once = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min(F.struct(*_COLUMNS)).alias("r")).select("id", "r.*")
+    once = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*_COLUMNS)).alias("r")).select("id", "r.*")
     got = _sample_features(arrow_rows(once)).sort_values("id")
-    t, m = (np.stack([np.frombuffer(x, np.float32) for x in got[c]]) if len(got) else np.zeros((0, 1), np.float32) for c in ("t", "m"))
-    is_known = got["id"].isin(known.index).to_numpy()
-    y = known.reindex(got["id"][is_known]).to_numpy(float)
+    y = known.reindex(got["id"]).to_numpy(float)
     held = np.arange(len(y)) % 4 == 3
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return None
-    return co_train((t[is_known], m[is_known]), y, held, (t[~is_known], m[~is_known]))
+    good = float(np.clip(y[~held].mean(), 0.02, 0.98))
+    return co_train(_unpacked(got), y, held, corpus_pick(rows.join(wanted, "id", "left_anti"), (1 - good, good)), rounds)
 
 
 def score(docs: DataFrame, models: Models | None, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
@@ -228,18 +310,18 @@ def score(docs: DataFrame, models: Models | None, id_col: str = "doc_id", thresh
     return _inputs(docs, id_col).mapInArrow(run, "id long, text_score double, meta_score double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED) -> DataFrame:
     """Train on ``labels`` and score all of ``docs``; see train() and score()."""
-    return score(docs, train(docs, labels, id_col, labelled=labelled, pool=pool), id_col)
+    return score(docs, train(docs, labels, id_col, labelled=labelled), id_col)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, labelled: int = LABELLED) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more; columns unchanged.
 
     Nulls count as in score(); repeated rows stay or go alike; without labels of
     two classes all rows stay; an empty table gives no rows.
     """
-    models = train(docs, labels, id_col, labelled=labelled, pool=pool)
+    models = train(docs, labels, id_col, labelled=labelled)
     if models is None:
         return docs
     names = docs.columns
