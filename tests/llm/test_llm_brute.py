@@ -207,6 +207,41 @@ def test_contamination_query(spark, sf_dir):
     assert whole and whole <= got
 
 
+def test_seed_join_equals_a_plain_tiler_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = {k: [rng.choice("abcdefgh") + str(rng.randint(0, 3)) for _ in range(rng.choice([2, 4, 5, 9, 30, 60]))] for k in range(12)}
+    rows = []
+    for d in range(60):
+        words = [f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 60))]
+        for k in rng.sample(range(12), 2):
+            a = rng.randrange(len(texts[k]))
+            words[rng.randint(0, len(words)) : 0] = texts[k][a:] + ["cut"] * rng.randint(0, 1) + texts[k][:a]
+        rows.append((d, " ".join(words)))
+    rows += [rows[0], (None, rows[1][1])]
+    want = []
+    for d, t in rows:
+        doc = t.split()
+        for k, item in texts.items():
+            if len(item) < 5:
+                if any(doc[i : i + len(item)] == item for i in range(len(doc))):
+                    want.append((d, k, len(item)))
+                continue
+            ids = {w: i for i, w in enumerate({*doc, *item})}
+            dh, ih = (np.array([ids[w] for w in x], np.uint64) for x in (doc, item))
+            at = np.array([i for i in range(len(doc) - 4) if any(doc[i : i + 5] == item[j : j + 5] for j in range(len(item) - 4))], np.int64)
+            covered = sum(x[2] for x in tiling.tiles(dh, ih, at, 5)) if len(at) else 0
+            if covered and 100 * covered >= 50 * len(item):
+                want.append((d, k, covered))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "item_id long, text string")
+    order = lambda x: sorted(map(str, x))
+    for limit in (tiling.BROADCAST_ROWS, 0):  # broadcast joins, then salted ones
+        monkeypatch.setattr(tiling, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(tiling, "ITEM_BYTES", limit)
+        got = [(r.doc_id, r.item_id, r.covered) for r in tiling.contaminated(docs, items).collect()]
+        assert len(got) > 60 and order(got) == order(want)
+
+
 def test_bpe_equals_the_library():
     c = bpe.Codec(bpe.default_vocabulary())
     rng = random.Random(5)

@@ -2,9 +2,9 @@
 
 Documents and benchmark items are sequences of lower-cased letter-and-digit
 tokens.  Runs of ``min_match`` tokens seed the comparison: Karp-Rabin hashes of
-a document's runs are looked up among those of the items.  For each seeded
-(document, item) pair the longest match of unmarked tokens is marked, again and
-again, until none of ``min_match`` tokens is left.  The tiles may stand in any
+the documents' runs are joined with those of the items.  For each (document,
+item) pair that shares enough of them, the longest match of unmarked tokens is
+marked, again and again, until none of ``min_match`` tokens is left.  The tiles may stand in any
 order, so a passage whose sentences were reordered is still covered.
 """
 
@@ -12,19 +12,22 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, free_name, lean, small_side, staged
+from .common import BROADCAST_ROWS, arrow_rows, free_name, lean, small_side, staged
 
 from . import wordhash
 
-#: Bytes of item text that are compared in one pass over the documents.
-BLOCK_TEXT = 8 << 20
+#: Bytes of item texts up to which they are broadcast to the pairs.
+ITEM_BYTES = 8 << 20
+#: The sieve of item seeds has two to the power of this many bits (2 MB).
+SIEVE_BITS = 24
+#: Tasks over which a key of a benchmark too large to broadcast is split.
+SALT = 16
 #: Pairs of matching positions of a document and an item that are listed at once.
 PAIRS = 1 << 21
 #: Letters of scripts that put no space between words (Thai, Lao, Myanmar, Khmer, kana, Han): each is a token by itself.
@@ -109,62 +112,88 @@ def _searched_tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[t
     return out
 
 
-def _matcher(items: list[tuple[int, str]], min_match: int, percent: int):
-    """mapInArrow: (id, lower-cased text) to one row for each item that the text covers."""
-    column = pa.array([x[1] for x in items], pa.string())
-    held = [(items[first + i][0], hashes[a:b]) for first, _, hashes, bounds in wordhash.words(column, wordhash.NON_ALNUM) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-    every = [(k, h.copy()) for k, h in held]
-    held = [(k, h) for k, h in every if len(h) >= min_match]
-    # a shorter item is one run of its own length
-    short: dict[int, dict[int, list[int]]] = {}
-    for k, h in every:
-        if 0 < len(h) < min_match:
-            short.setdefault(len(h), {}).setdefault(int(wordhash.windows(h, len(h))[0]), []).append(k)
-    runs = [wordhash.windows(h, min_match) for _, h in held]
-    flat = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-    by = np.argsort(flat, kind="stable")
-    flat, owner = flat[by], owner[by]
-    bits = 22
+def _seeds(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Karp-Rabin hashes of the runs of ``size`` tokens, apart from those of other sizes."""
+    return wordhash.mix(wordhash.windows(hashes, size) + np.uint64(size))
+
+
+def _item_seeds(min_match: int, percent: int):
+    """mapInArrow: (item row, text) to its distinct seeds, at how many places each stands and how many places a covering document must share."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = np.zeros(1 << bits, bool)
-        sieve[flat >> np.uint64(64 - bits)] = True
         for batch in batches:
-            ids, out = batch.column(0), []
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, _, hashes, bounds in wordhash.words(batch.column(1), wordhash.NON_ALNUM):
-                for size, known in short.items():
-                    runs_of = wordhash.windows(hashes, size)
-                    hit = np.flatnonzero(np.isin(runs_of, np.fromiter(known, np.uint64, len(known))))
+                parts = [[np.zeros(0, np.int64)] * 5]
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    if b > a:
+                        size = min(min_match, b - a)
+                        seed, places = np.unique(_seeds(hashes[a:b], size), return_counts=True)
+                        # tiles that mark c tokens hold at least c / min_match shared places
+                        need = -(-max(1, -(-percent * (b - a) // 100)) // min_match)
+                        parts.append([np.full(len(seed), ids[first + i]), seed.view(np.int64), places, np.full(len(seed), need), np.full(len(seed), size)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], names=["item", "seed", "places", "need", "size"])
+
+    return run
+
+
+def _document_seeds(sieve: np.ndarray, sizes: list[int]):
+    """mapInArrow: (row, text) to those of its distinct seeds that pass the sieve."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, _, hashes, bounds in wordhash.words(batch.column(1), wordhash.NON_ALNUM):
+                for size in sizes:
+                    seed = _seeds(hashes, size)
+                    at = seed >> np.uint64(64 - SIEVE_BITS)
+                    hit = np.flatnonzero((sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
                     row = np.searchsorted(bounds, hit, "right") - 1
                     inside = hit + size <= bounds[row + 1]
-                    for r, h in sorted({(int(r), int(runs_of[i])) for r, i in zip(row[inside], hit[inside], strict=True)}):
-                        out += [(ids[first + r].as_py(), k, size, size, 1) for k in known[h]]
-                doc_runs = wordhash.windows(hashes, min_match)
-                hit = np.flatnonzero(sieve[doc_runs >> np.uint64(64 - bits)])
-                lo, hi = np.searchsorted(flat, doc_runs[hit], "left"), np.searchsorted(flat, doc_runs[hit], "right")
-                keep = hi > lo
-                hit, lo, hi = hit[keep], lo[keep], hi[keep]
-                row = np.searchsorted(bounds, hit, "right") - 1
-                keep = hit + min_match <= bounds[row + 1]
-                hit, lo, hi, row = hit[keep], lo[keep], hi[keep], row[keep]
-                for r in np.unique(row).tolist():
-                    sel, base = row == r, bounds[r]
-                    at, a, b = hit[sel] - base, lo[sel], hi[sel]
-                    doc = hashes[base : bounds[r + 1]]
-                    n = b - a
-                    items_at = np.repeat(at, n)
-                    which = owner[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                    for k in np.unique(which).tolist():
-                        name, item = held[k]
-                        found = tiles(doc, item, np.unique(items_at[which == k]), min_match)
-                        covered = sum(x[2] for x in found)
-                        if 100 * covered >= percent * len(item):
-                            out.append((ids[first + r].as_py(), name, covered, len(item), len(found)))
+                    row, seed = row[inside], seed[hit[inside]]
+                    by = np.lexsort((seed, row))
+                    row, seed = row[by], seed[by]
+                    if len(row):
+                        new = np.concatenate([[True], (np.diff(row) != 0) | (seed[1:] != seed[:-1])])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[new]], pa.int64()), pa.array(seed[new].view(np.int64), pa.int64())], names=["row", "seed"])
+
+    return run
+
+
+def _verify(min_match: int, percent: int):
+    """mapInArrow: (id, text, item_id, item text) to a row for each pair of which the text covers the item."""
+
+    def tokens(text: str) -> np.ndarray:
+        return next(wordhash.words(pa.array([text], pa.large_string()), wordhash.NON_ALNUM))[2]
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, doc = None, None
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                if (text := batch.column(1)[i].as_py()) != last:
+                    last, doc = text, tokens(text)
+                item = tokens(batch.column(3)[i].as_py())
+                size = min(min_match, len(item))
+                at = np.flatnonzero(np.isin(_seeds(doc, size), _seeds(item, size)))
+                found = [(0, int(at[0]), size)] if size < min_match and len(at) else tiles(doc, item, at, min_match) if len(at) else []
+                covered = sum(x[2] for x in found)
+                if found and 100 * covered >= percent * len(item):
+                    out.append((batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), covered, len(item), len(found)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["id", "item_id", "covered", "item_tokens", "tiles"])
 
-    return run if every else None
+    return run
+
+
+def _join(rows: DataFrame, named: DataFrame, on: str, salt: str, small: bool) -> DataFrame:
+    """Inner join: ``named`` is broadcast where it is small, else each key is split over SALT tasks by ``salt``."""
+    if small:
+        return rows.join(F.broadcast(named), on)
+    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALT)).cast("int")).join(salted, [on, "salt"]).drop("salt")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = 5, percent: int = 50) -> DataFrame:
@@ -176,21 +205,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     null or empty text, cover nothing; letters of unspaced scripts are tokens by
     themselves; two items of equal text give two rows; repeated rows of ``docs``
     give repeated rows; other columns are not read.  Empty tables give no rows.
-    The items are read to the driver in blocks of BLOCK_TEXT bytes, each shipped
-    with a pass over all documents: passes grow with the benchmark, tasks do not.
+
+    Seeds of documents and items are joined.  A sieve of 2 ** SIEVE_BITS bits,
+    whatever the benchmark's size, keeps most seeds that no item has out of that
+    join; pairs that share too few places to reach ``percent`` go before the
+    texts are joined to them.  Rows are named by a hash of id and text there:
+    rows of one name only share candidates, since tiles are of the texts.
     """
     lowered = lambda c: F.when(c.rlike(UNSPACED), F.regexp_replace(c, F.lit(UNSPACED), F.lit(" $1 "))).otherwise(c)
-    spark = docs.sparkSession
-    source = arrow_rows(docs).select(F.col(id_col).cast("long").alias("id"), lowered(F.lower(F.col(text_col).cast("string"))).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("k"), lowered(F.lower(F.col(item_text).cast("string"))).alias("text")).where("k IS NOT NULL AND text IS NOT NULL")
-    blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_TEXT) + 1
-    schema, parts = "id long, item_id long, covered long, item_tokens long, tiles long", []
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("k", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        if run := _matcher([(r.k, r.text) for r in block.collect()], min_match, percent):
-            parts.append(source.mapInArrow(run, schema))
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-    return found.withColumn("coverage", F.col("covered") / F.col("item_tokens")).withColumnRenamed("id", id_col)
+    spark, schema = docs.sparkSession, "id long, item_id long, covered long, item_tokens long, tiles long"
+    source = arrow_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    source = source.select(F.xxhash64("id", "text").alias("row"), "id", lowered(F.lower("text")).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), lowered(F.lower(F.col(item_text).cast("string"))).alias("item_text")).where("item_id IS NOT NULL AND item_text <> ''")
+    items = items.select(F.xxhash64("item_id", "item_text").alias("item"), "item_id", "item_text")
+    of_items = staged(items.select("item", "item_text").distinct().mapInArrow(_item_seeds(min_match, percent), "item long, seed long, places long, need long, size long"), "item_seeds")
+    sizes = sorted(r.size for r in of_items.select("size").distinct().collect())
+    if not sizes:
+        return spark.createDataFrame([], schema).withColumn("coverage", F.col("covered") / F.col("item_tokens")).withColumnRenamed("id", id_col)
+    bit = F.shiftrightunsigned("seed", 64 - SIEVE_BITS)
+    words = of_items.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(seed, {64 - SIEVE_BITS}) & 63 AS INT))")).alias("bits")).toPandas()
+    sieve = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    sieve[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    seeds = source.select("row", "text").mapInArrow(_document_seeds(sieve, sizes), "row long, seed long")
+    shared = _join(seeds, of_items.drop("size"), "seed", "row", of_items.count() <= BROADCAST_ROWS)
+    # repeated rows count a place more than once, which only lets more candidates through
+    pairs = staged(shared.groupBy("row", "item").agg(F.sum("places").alias("places"), F.max("need").alias("need")).where("places >= need").select("row", "item"), "candidates")
+    size = items.agg(F.sum(F.octet_length("item_text") + 16)).first()[0]
+    found = _join(source.join(small_side(pairs), "row"), items, "item", "row", size <= ITEM_BYTES).select("id", "text", "item_id", "item_text")
+    return found.mapInArrow(_verify(min_match, percent), schema).withColumn("coverage", F.col("covered") / F.col("item_tokens")).withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
