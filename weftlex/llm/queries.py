@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, licences, line_rules, pii, quality, secrets, sharding, tiling, warc
+from . import bpe, jaccard_join, licences, line_rules, pii, quality, secrets, sessions, sharding, tiling, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op7_warc"] = warc.SQL
+
+
+@_query
+def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every user's sessions after each batch, with what it retracts and what retracts it."""
+    return sessions.conversation_sessions(table(spark, sf_dir, "conversations"))
+
+
+SQL["op11_sessions"] = sessions.SQL
