@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, licences, line_rules, pii, quality, secrets, sessions, sharding, tiling, warc
+from . import bpe, fim, jaccard_join, licences, line_rules, pii, quality, secrets, sessions, sharding, tiling, toxic, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,18 @@ def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op11_sessions"] = sessions.SQL
+
+
+@_query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for toxicity, with offending spans; learnt from labels that are not held out."""
+    return toxic.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at its lines into prefix, middle and suffix, and rebuilt from the result."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_fill_in_middle"] = fim.SQL

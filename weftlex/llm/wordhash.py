@@ -9,7 +9,7 @@ one multiplication by ``P**-start``.  Memory is bounded by ``BLOCK_BYTES``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,31 @@ def _block(data: np.ndarray, doc_starts: np.ndarray, sep: np.ndarray) -> tuple[n
     return starts, mix(h + (ends - starts).astype(np.uint64))
 
 
+def punctuation(data: np.ndarray) -> np.ndarray:
+    """Bytes that are no part of letters or digits: NON_ALNUM, and the UTF-8 of Latin, general, East Asian and full-width punctuation and symbols."""
+    gap = NON_ALNUM[data]
+    if not (data >= 0xC2).any():
+        return gap
+    pad = np.concatenate([data, np.zeros(2, np.uint8)])
+    b, c = pad[1:-1], pad[2:]
+    at = np.flatnonzero((data == 0xC2) & ~np.isin(b, [0xAA, 0xB5, 0xBA]) | (data == 0xC3) & np.isin(b, [0x97, 0xB7]))
+    gap[at] = gap[at + 1] = True
+    wide = (data == 0xE2) & ((b == 0x80) | (b == 0x81) & (c < 0xB0) | (b >= 0x86) & (b <= 0xAF)) | (data == 0xE3) & (b == 0x80) & ((c < 0x85) | (c > 0x87))
+    wide |= (data == 0xEF) & ((b == 0xBC) & ((c < 0x90) | (c >= 0x9A) & (c <= 0xA0) | (c >= 0xBB)) | (b == 0xBD) & ((c == 0x80) | (c >= 0x9B) & (c <= 0xA5)))
+    at = np.flatnonzero(wide)
+    for k in range(3):
+        gap[np.minimum(at + k, len(gap) - 1)] = True
+    return gap
+
+
+def substrings(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Hashes of the byte runs [a, b) of ``data``, ASCII letters lowered, from one prefix sum."""
+    p, q = _pow(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LOWERED[data] * p[: len(data)], out=prefix[1:])
+    return lambda a, b: mix((prefix[b] - prefix[a]) * q[a] + (b - a).astype(np.uint64))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and the offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
