@@ -45,6 +45,17 @@ def _slot(h: np.ndarray, kind: int) -> np.ndarray:
     return (wordhash.mix(h + np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(SLOTS - 1)).astype(np.uint32) + np.uint32(1)
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with the accented Latin capitals (U+00C0 to U+00DE) made small; hashing does it for ASCII."""
+    high = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = high[(data[high] < 0x9F) & (data[high] != 0x97)]
+    if not len(capital):
+        return data
+    out = data.copy()
+    out[capital] += 0x20
+    return out
+
+
 def tokens(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, features) of the tokens of one piece; the columns of neighbours are left 0."""
     gap = wordhash.punctuation(data)
@@ -58,7 +69,7 @@ def tokens(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.nda
     stops = np.flatnonzero(edge)
     ends = stops[np.searchsorted(stops, starts + 1)]
     out, size = np.zeros((len(starts), WIDTH), np.uint32), ends - starts
-    part = wordhash.substrings(data)
+    part = wordhash.substrings(_folded(data))
     out[:, 0] = _slot(part(starts, ends), 1)
     for k, n in enumerate((*PREFIXES, *SUFFIXES)):
         long = size > n
@@ -211,22 +222,36 @@ def evidence(p: np.ndarray) -> list[float]:
 def fit(features: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float] = (0.5, 0.5)) -> Model:
     """A field and its calibrated document model from token features of labelled texts.
 
-    Every fourth text is kept for the document model.  ``shares`` are those of
-    clean and toxic texts among all labelled ones, for which it is weighted.
+    The document model learns from marginals that a field gives texts it did not
+    see: one field for each half of the texts, then one from all.  ``shares`` are
+    those of clean and toxic texts among all labelled ones, for which it is weighted.
     """
-    held = np.arange(len(toxic)) % 4 == 3
-    own, y = [f for f, h in zip(features, held, strict=True) if not h], toxic[~held]
-    truth = _stand_out(own, y)
-    for _ in range(2):
-        field = _fit_field(own, truth)
-        found = [forward_backward(field.weights[f].sum(1), np.zeros(1, int)[: len(f)], field)[0] for f in own]
-        truth = [_marked(p, 0.5) & bool(t) for p, t in zip(found, y, strict=True)]
-    x = np.array([evidence(forward_backward(field.weights[f].sum(1), np.zeros(1, int)[: len(f)], field)[0]) for f, h in zip(features, held, strict=True) if h])
-    t = toxic[held].astype(float)
+    half = np.zeros(len(toxic), int)
+    for k in (0, 1):
+        own = np.flatnonzero(toxic == k)
+        half[own] = np.arange(len(own)) % 2
+    x = np.zeros((len(toxic), 3))
+    for k in (0, 1):
+        field = _learn([f for f, h in zip(features, half, strict=True) if h != k], toxic[half != k])
+        for i in np.flatnonzero(half == k):
+            x[i] = evidence(_marginals(features[i], field))
+    t = toxic.astype(float)
     weight = np.where(t == 1, shares[1] / max(t.mean(), 1e-9), shares[0] / max(1 - t.mean(), 1e-9))
+    field = _learn(features, toxic)
     return Model(Field(field.weights.astype(np.float32), field.moves, field.first), Logistic(0.1).fit(x, t, weight))
 
 
+def _marginals(features: np.ndarray, field: Field) -> np.ndarray:
+    return forward_backward(field.weights[features].sum(1), np.zeros(1, int)[: len(features)], field)[0]
+
+
+def _learn(features: list[np.ndarray], toxic: np.ndarray) -> Field:
+    """A field whose token labels are first those that stand out, then those that a first field finds."""
+    field = _fit_field(features, _stand_out(features, toxic))
+    found = [_marked(_marginals(f, field), 0.5) if t else np.zeros(len(f), bool) for f, t in zip(features, toxic, strict=True)]
+    return _fit_field(features, found)
+
+
 def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of whole texts: (first row, row of each token, starts, ends, features); a long text is turned into features by pieces."""
     data, offsets = wordhash.buffers(column)
@@ -282,8 +307,8 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", labelled: int = LABELLED) -> Model | None:
     """A model from at most ``labelled`` labelled documents, half of them toxic at most, none held out.
 
-    They are the first of each class by a hash of their ids.  None where labels
-    hold one class only.  Of rows repeated under one id the least text counts; null texts count as empty.
+    They are the first of each class by a hash of their ids.  None where
+    fewer than two texts of a class are left.  Of rows repeated under one id the least text counts; null texts count as empty.
     """
     marks = _label(labels, id_col, label_col).where(~held_out("id"))
     counts = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -308,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 
     got: pd.DataFrame = arrow_rows(once).mapInArrow(run, "id long, y int, f binary").toPandas().sort_values("id")
     toxic = got["y"].to_numpy()
-    if any(len(set(toxic[np.arange(len(toxic)) % 4 == 3] if part else toxic[np.arange(len(toxic)) % 4 != 3])) < 2 for part in (0, 1)):
+    if min((toxic == 0).sum(), (toxic == 1).sum()) < 2:
         return None
     features = [np.frombuffer(f, np.uint32).reshape(-1, WIDTH) for f in got["f"]]
     total = counts[0] + counts[1]
@@ -320,7 +345,7 @@ def tag(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFra
 
     Whole texts are read; a null text counts as empty and scores as an empty one.
     Repeated rows score alike; other columns are not read.  Without a model
-    (labels of one class) scores are null and there are no spans.  An empty table gives no rows.
+    (too few labels of a class) scores are null and there are no spans.  An empty table gives no rows.
     """
     schema = f"{id_col} long, score double, spans array<struct<start: long, end: long, p: double>>"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
