@@ -255,8 +255,8 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit has its payload's length from the response that it refers to,
     whose digest must be the one it states; one without such a response raises.
-    A null page_id equals no page's, so its row is never the first of its
-    payload: as in SQL, it is a revisit with a null refers_to.
+    A row of null page_id is what its record says: a response, or a revisit of
+    the page with the largest id among those of its payload.
     """
     found = staged(read(spark, path), "records")
     single = found.where("kind = 'response' AND n IS NOT NULL").select("record", "n", "sha1", "digest")
@@ -271,8 +271,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     seen = visits.join(origins, "refers", "left").withColumn("n", F.when(F.col("digest") == F.col("own"), F.col("n")).otherwise(lost.cast("long")))
     out = whole.select("record", "n", "sha1", F.lit("response").alias("kind"), F.lit(None).cast("string").alias("refers")).unionByName(seen.select("record", "n", "sha1", F.lit("revisit").alias("kind"), "refers"))
     out = out.select(number(F.col("record")).alias("page_id"), "n", "sha1", "kind", number(F.col("refers")).alias("refers"))
-    known = F.col("page_id").isNotNull()
-    return out.select("page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.when(known, F.col("kind")).otherwise("revisit").alias("record_type"), F.when(known, F.col("refers")).alias("refers_to"))
+    return out.select("page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
 def round_trip(pages: DataFrame, null_ids: bool = False) -> DataFrame:
@@ -285,8 +284,8 @@ def round_trip(pages: DataFrame, null_ids: bool = False) -> DataFrame:
 SQL = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 s AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha1(b) AS d FROM p),
-o AS (SELECT *, CASE WHEN n >= {REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS origin FROM s)
-SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN origin = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN origin <> page_id THEN origin END AS refers_to
+o AS (SELECT *, CASE WHEN n >= {REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY d) END AS origin FROM s)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN origin IS DISTINCT FROM page_id AND origin IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN origin IS DISTINCT FROM page_id THEN origin END AS refers_to
 FROM o
 """
