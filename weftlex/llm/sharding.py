@@ -2,8 +2,8 @@
 
 Equal texts are a group and stay together.  So that the packer's input has a
 fixed bound, groups are first summed into BUCKETS hash buckets; a group larger
-than half a shard is split by a hash of its ids into chunks of about a
-quarter of a shard, each measured exactly.  Buckets and chunks are then placed, the
+than half a shard is split by a hash of its rows' places, so also where ids repeat, into chunks of
+about a quarter of a shard, each measured exactly.  Buckets and chunks are then placed, the
 largest first, where the dot product of their vector with a shard's residual
 capacity is highest.
 """
@@ -64,6 +64,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
         F.crc32(text).alias("crc"),
         F.xxhash64(text).alias("h"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("salt"),  # written once with the sizes: rows equal in all else are dealt by it
     ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     rows = staged(rows, "sizes")
     sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")]
@@ -90,7 +91,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     if heavy:
         hot = F.broadcast(spark.createDataFrame(heavy, "h long, base int, chunks int"))
         rows = rows.join(hot, "h", "left")
-        item = F.coalesce(F.col("base") + F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"), "bucket")
+        item = F.coalesce(F.col("base") + F.pmod("salt", F.col("chunks").cast("long")).cast("int"), "bucket")
         rows = rows.withColumn("item", item)
         found = rows.where("base IS NOT NULL").groupBy("item").agg(*sums).toPandas()
         extra = np.zeros((base - BUCKETS, 3))
@@ -103,7 +104,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     placed = pack(every[used], shards)
     where = F.broadcast(spark.createDataFrame([(int(a), int(b)) for a, b in zip(used, placed, strict=True)], "item int, shard int"))
     subs = max(8, int(np.ceil(total[2] / shards / SLOT_ROWS)))
-    rows = staged(rows.join(where, "item").select("id", "size", "tokens", "crc", "shard", F.pmod(F.xxhash64("id", "size", "crc"), F.lit(subs)).cast("int").alias("sub")), "placed")
+    rows = staged(rows.join(where, "item").select("id", "size", "tokens", "crc", "shard", F.pmod(F.xxhash64("salt"), F.lit(subs)).cast("int").alias("sub")), "placed")
 
     counts = rows.groupBy("shard", "sub").count().orderBy("shard", "sub").collect()
     starts, at = [], {}
