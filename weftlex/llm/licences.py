@@ -103,9 +103,10 @@ _TITLED: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 #: (licence, whole text), without a title and with each.
 TEXTS: tuple[tuple[str, str], ...] = tuple((name, f"{title}\n\n{text}" if title else text) for name, text, titles in _TITLED for title in ("", *titles))
 
-#: Equivalent spellings, applied in order to lower-cased text.
-SPELLINGS: tuple[tuple[str, str], ...] = (("licence", "license"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"), ("non-infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("https:", "http:"), ("&", " and "))
-COPYRIGHT = r"(?m)^\W*(copyright\b|\(c\)|©).*$"
+#: Equivalent spellings, applied in order to lower-cased text; words wrapped at a hyphen are joined first.
+SPELLINGS: tuple[tuple[str, str], ...] = (("-\n", "-"), ("licence", "license"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"), ("non-infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("https:", "http:"), ("&", " and "))
+#: A copyright line names a year (or has a place for one), a sign, or reserves rights; prose that a wrap makes begin with the word does not.
+COPYRIGHT = r"(?m)^\W*(copyright\b.*(\b[12][0-9]{3}\b|\byyyy\b|[\[<{]year|\(c\)|©|all rights reserved)|\(c\)|©|all rights reserved).*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 #: Paragraphs are parted by blank lines.
 PARAGRAPHS = r"\n[\x20\t\r]*\n"
