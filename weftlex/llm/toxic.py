@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -233,22 +232,29 @@ def fit(features: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, floa
     x = np.zeros((len(toxic), 3))
     for k in (0, 1):
         field = _learn([f for f, h in zip(features, half, strict=True) if h != k], toxic[half != k])
-        for i in np.flatnonzero(half == k):
-            x[i] = evidence(_marginals(features[i], field))
+        own = np.flatnonzero(half == k)
+        for i, p in zip(own, _marginals([features[i] for i in own], field), strict=True):
+            x[i] = evidence(p)
     t = toxic.astype(float)
     weight = np.where(t == 1, shares[1] / max(t.mean(), 1e-9), shares[0] / max(1 - t.mean(), 1e-9))
     field = _learn(features, toxic)
     return Model(Field(field.weights.astype(np.float32), field.moves, field.first), Logistic(0.1).fit(x, t, weight))
 
 
-def _marginals(features: np.ndarray, field: Field) -> np.ndarray:
-    return forward_backward(field.weights[features].sum(1), np.zeros(1, int)[: len(features)], field)[0]
+def _marginals(features: list[np.ndarray], field: Field) -> Iterator[np.ndarray]:
+    """Marginals of each text's tokens, some texts at a time."""
+    for at in range(0, len(features), 64):
+        own = features[at : at + 64]
+        ends = np.cumsum([len(f) for f in own])
+        firsts = (ends - [len(f) for f in own])[[len(f) > 0 for f in own]]
+        p, _ = forward_backward(field.weights[np.concatenate(own)].sum(1), firsts, field)
+        yield from np.split(p, ends[:-1])
 
 
 def _learn(features: list[np.ndarray], toxic: np.ndarray) -> Field:
     """A field whose token labels are first those that stand out, then those that a first field finds."""
     field = _fit_field(features, _stand_out(features, toxic))
-    found = [_marked(_marginals(f, field), 0.5) if t else np.zeros(len(f), bool) for f, t in zip(features, toxic, strict=True)]
+    found = [_marked(p, 0.5) & bool(t) for p, t in zip(_marginals(features, field), toxic, strict=True)]
     return _fit_field(features, found)
 
 
@@ -331,11 +337,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
                     out[first + i] = features[at[i] : at[i + 1]].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "y", "f"])
 
-    got: pd.DataFrame = arrow_rows(once).mapInArrow(run, "id long, y int, f binary").toPandas().sort_values("id")
+    got = arrow_rows(once).mapInArrow(run, "id long, y int, f binary").toArrow().sort_by("id")
     toxic = got["y"].to_numpy()
     if min((toxic == 0).sum(), (toxic == 1).sum()) < 2:
         return None
-    features = [np.frombuffer(f, np.uint32).reshape(-1, WIDTH) for f in got["f"]]
+    features = [np.frombuffer(f.as_buffer(), np.uint32).reshape(-1, WIDTH) for f in got["f"]]
     total = counts[0] + counts[1]
     return fit(features, toxic, (counts[0] / total, counts[1] / total))
 
