@@ -6,22 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import files, lexicons
+from ..operators import dictionary as D
+from ..sources import files, lexicons, ordered, store
+from ..sources.scratch import scratch_folder
 from ..streaming import corpus as stream
 from .catalog import literal, query, table
 from .corpus import _sql_ngrams
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: under the cluster's shared one; in local mode under the warehouse."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{shared.rstrip('/')}/formats-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "formats")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,3 +120,50 @@ def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit("<p>Extracted from the wiki dump of "), "s_name", F.lit(", dated 2024-01-"), F.lpad((F.col("s_suppkey") % 28 + 1).cast("string"), 2, "0"), F.lit("</p>"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.snapshot_date(page).alias("snapshot"))
+
+
+def _sql_order(total: str, buffer: str) -> str:
+    """Positions of a buffer-shuffled stream: a row leaves its slot when the next one enters it, the last ones in a drawn order."""
+    slot = f"CASE WHEN n < {buffer} THEN n ELSE {ordered.mixed_sql(f'n - {buffer}', ordered.SEED)} % {buffer} END"
+    drawn = f"row_number() OVER (ORDER BY ({ordered.mixed_sql(f'slot + {total} - {buffer}', ordered.SEED)}), slot) - 1 + {total} - {buffer}"
+    return f"""z AS (SELECT count(*) AS total, least(count(*), {ordered.BUFFER}) AS buffer FROM documents), r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents),
+s AS (SELECT doc_id, text, n, total, buffer, {slot} AS slot FROM r, z), g AS (SELECT *, lead(n - buffer) OVER (PARTITION BY slot ORDER BY n) AS gone FROM s),
+l AS (SELECT doc_id, text, CAST({drawn} AS BIGINT) AS pos FROM g WHERE gone IS NULL), placed AS (SELECT doc_id, text, gone AS pos FROM g WHERE gone IS NOT NULL UNION ALL SELECT doc_id, text, pos FROM l)"""
+
+
+@query(f"WITH {_sql_order('total', 'buffer')} SELECT pos, doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM placed")
+def stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the shuffle buffer, 25,000 a batch, the offset a row count."""
+    out = ordered.ordered_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], _folder(spark))
+    return out.select("pos", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query(f"SELECT text, count(*) AS frequency FROM ({_sql_ngrams(2)}) GROUP BY text")
+def checkpointed_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigrams from partials of bounded size, one set for each checkpoint of the shuffled stream."""
+    return stream.checkpointed_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], 2, _folder(spark))
+
+
+@query("SELECT q.vec_id AS query_id, e.vec_id AS row_index, q.label, array_to_string(list_transform(range(1, len(e.embedding) + 1), lambda i: CAST(CAST(floor(CAST(e.embedding[i] AS DOUBLE) * 1048576) AS BIGINT) AS VARCHAR)), ',') AS vector FROM embeddings q JOIN embeddings e ON e.vec_id = (q.vec_id * 7919) % (SELECT max(vec_id) + 1 FROM embeddings)")
+def store_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of a sharded store is asked for once, in no order, through a cache of shards checked by digest."""
+    path, e = _folder(spark), table(spark, sf_dir, "embeddings")
+    width = 64
+    rows = files.checked_width(e, "embedding", width).select(F.col("vec_id").alias("row_index"), store.packed_floats("embedding").alias("record"))
+    store.write_shards(rows, path, 4 * width, 1_000)
+    above = e.agg((F.max("vec_id") + 1).alias("above"))  # one row
+    wanted = e.join(F.broadcast(above)).select(F.col("vec_id").alias("query_id"), "label", ((F.col("vec_id") * 7919) % F.col("above")).alias("row_index"))
+    found = store.read_at(spark, path, wanted, "row_index")
+    scaled = F.transform(store.unpacked_floats("record"), lambda x: F.floor(x.cast("double") * 1_048_576).cast("string"))
+    return found.select("query_id", "row_index", "label", F.array_join(scaled, ",").alias("vector"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS r, md5(coalesce(text, '')) AS d FROM documents) WHERE r = 1 AND d NOT IN (SELECT md5(coalesce(text, '')) FROM documents WHERE doc_id % 2 = 0)")
+def digest_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the even documents as fixed-width shards; of the others those that no shard holds, one of each text."""
+    path = _folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("record"))
+    seen = D.numbered(docs.where("doc_id % 2 = 0").select("record").distinct(), ["record"], "row_index")
+    store.write_shards(seen, path, 16, 50_000)
+    fresh = docs.join(store.read_records(spark, path, 16), "record", "left_anti")
+    return fresh.groupBy("record").agg(F.min("doc_id").alias("doc_id")).select("doc_id")

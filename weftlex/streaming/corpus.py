@@ -15,8 +15,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import text as T
 from ..operators.align import word_units
+from ..operators.corpus import ngram_counts
+from ..sources import ordered
 from ..sources.files import fingerprint
 
+#: N-grams of one partial table (a fixed value for order two).
+PARTIAL_KEYS = 10_000_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -68,6 +72,30 @@ def partial_counts(stream: DataFrame, n: int, path: str, checkpoint: str, text:
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def checkpointed_counts(docs: DataFrame, order: list[str], n: int, path: str, rows: int = ordered.CHECKPOINT_ROWS, keys: int = PARTIAL_KEYS, buffer: int = ordered.BUFFER, text: str = "text") -> DataFrame:
+    """(text, frequency): exact n-gram counts from partial tables, one set for each ``rows`` documents of the shuffled order.
+
+    A batch's counts are flushed in files of at most ``keys`` n-grams, so a
+    partial never holds more, and what a task holds in memory spills.  Under
+    ``path`` an interrupted run goes on after its last stored batch; a batch
+    that runs again replaces its own partials.  The order is stored once.
+    """
+    spark = docs.sparkSession
+    marks = {"n": n, "order": order, "rows": rows, "keys": keys, "buffer": buffer}
+    bind(spark, f"{path}/state", marks)
+    if not ordered.exists(spark, f"{path}/order/blocks/_SUCCESS"):
+        ordered.write_order(docs, order, f"{path}/order")
+    total = spark.read.parquet(f"{path}/order/sorted").count()
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        ngram_counts(batch, n, text).write.mode("overwrite").option("maxRecordsPerFile", keys).option("compression", "zstd").parquet(f"{path}/partials/batch={batch_id}")
+
+    ordered.run_in_order(spark, f"{path}/order", total, f"{path}/state", save, rows, buffer)
+    if not total:
+        return spark.createDataFrame([], "text string, frequency bigint")
+    return spark.read.schema("text string, frequency bigint").parquet(f"{path}/partials").groupBy("text").agg(F.sum("frequency").alias("frequency"))
+
+
 def append_word_units(stream: DataFrame, path: str, checkpoint: str, ordinal: str, text: str = "text") -> StreamingQuery:
     """Append the words that a batch is the first to hold; ids go on where the table ends.
 
