@@ -170,6 +170,30 @@ def test_router_prefers_word_order_over_token_length(spark):
     assert got[(1, 4)] == [5] and got[(2, 0)] == [7] and sorted(got[(3, 1)]) == [8, 9]
 
 
+@pytest.mark.parametrize("block_keys,broadcast", [(100_000, 200_000), (7, 0)])
+def test_suffixes_by_automaton_equal_slices(spark, monkeypatch, block_keys, broadcast):
+    import random
+
+    monkeypatch.setattr(surface, "BROADCAST_ADDRESSES", broadcast)
+    monkeypatch.setattr(surface, "HIT_ROWS", 5)
+    rng = random.Random(3)
+    schema = "boundary_mode string, token_ids array<bigint>, word_order int, row_index long, frequency long, surface_text string, sense_id string"
+    rows = [(rng.choice(["bos", "internal"]), [rng.randint(0, 2) for _ in range(rng.randint(1, 4))], rng.randint(1, 3), k, rng.randint(1, 3), "x", f"s{k}") for k in range(60)]
+    rows += [("bos", [], 2, 100, 1, "x", None), ("bos", [1, None], 3, 101, 1, "x", None)]
+    texts = [(i, [rng.randint(0, 2) for _ in range(rng.randint(0, 12))]) for i in range(20)] + [(20, None), (21, [1, None, 1]), (None, [0, 1])]
+    want = []
+    for i, ids in texts:
+        for end in range(len(ids or [])):
+            hits = [r for r in rows[:60] if len(r[1]) <= end + 1 and ids[end + 1 - len(r[1]) : end + 1] == r[1] and r[0] == ("bos" if len(r[1]) == end + 1 else "internal")]
+            hits.sort(key=lambda r: (-r[2], -r[4], r[3]))
+            want += [(i, end, end + 1 - len(r[1]), r[2], r[3], r[6]) for k, r in enumerate(hits) if r[2] == hits[0][2] and (r[2] == 1 or k == 0)]
+    tokens = spark.createDataFrame(texts, "id long, ids array<bigint>")
+    got = surface.resolve_suffixes(tokens, spark.createDataFrame(rows, schema), "id", block_keys=block_keys)
+    order = lambda r: tuple(-1 if x is None else x for x in r[:5])
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+    assert surface.resolve_suffixes(tokens, spark.createDataFrame([], schema), "id").collect() == []
+
+
 def test_plan_falls_back_on_a_miss(spark):
     tokens = spark.createDataFrame([(1, [10, 11, 12])], "id long, ids array<bigint>")
     ends = spark.createDataFrame([(1, 0, 0), (1, 1, 2), (1, 2, 2)], "id long, ordinal int, token_end int")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import hashing as H
 from ..functions import text as T
+from ..sources import ordered
+from ..sources.scratch import scratch_folder
+from ..sources.store import located
 
 #: Word orders that hold phrase memory; order one holds dictionary senses.
 PHRASE_ORDERS = (3, 2)
@@ -150,26 +154,106 @@ def decomposition(found: DataFrame, addresses: DataFrame, id_col: str) -> DataFr
     return hits.join(top, [id_col, "segment", "p"]).where("word_order < top").select(id_col, "segment", "p", "word_order", "row_index")
 
 
-def resolve_suffixes(tokens: DataFrame, addresses: DataFrame, id_col: str, max_span: int | None = None) -> DataFrame:
-    """Token-level form: every suffix of up to ``max_span`` ids that ends at a position is looked up.
+#: Keys of one automaton: some tens of megabytes in a task.
+AUTOMATON_KEYS = 100_000
+#: Hits of one output batch.
+HIT_ROWS = 50_000
+#: Stands for a null id: no key holds it.
+NO_ID = 2**32 - 1
+#: Addresses that are broadcast to the hits; with more, both sides are dealt over ``HIT_SALTS`` tasks a key.
+BROADCAST_ADDRESSES, HIT_SALTS = 200_000, 16
 
-    Without ``max_span``, those of every length that an address has.
+
+def stored_keys(keys: DataFrame, path: str, block_keys: int = AUTOMATON_KEYS) -> int:
+    """Store distinct ``token_ids`` with dense ``row_no`` in blocks of ``block_keys``; returns the number of blocks.
+
+    Empty keys and keys that hold a null match nothing and are left out; an id outside 0 to 2**32 - 2 raises.
+    """
+    t = F.col("token_ids")
+    fits = F.when(F.forall(t, lambda x: (x >= 0) & (x < NO_ID)), t).otherwise(F.raise_error(F.lit("token ids are 0 to 2**32 - 2")).cast("array<bigint>"))
+    whole = keys.where((F.size("token_ids") > 0) & ~F.exists("token_ids", lambda x: x.isNull())).select(fits.alias("token_ids")).distinct()
+    return -(-ordered.write_order(whole, ["token_ids"], path, block_keys) // block_keys)
+
+
+def key_hits(tokens: DataFrame, id_col: str, path: str, blocks: int) -> DataFrame:
+    """(id, end, start, row_no): every place where a stored key occurs in ``tokens(id, ids)``.
+
+    An automaton of one block of keys runs once over each text, so work is
+    linear in the text and in what it holds.  With several blocks a text is
+    given to each of them in its own task; nothing is shuffled.
+    """
+    import pyarrow as pa
+
+    def automaton(block: int):
+        import ahocorasick
+        from pyarrow import parquet
+
+        system, at = located(f"{path}/blocks/block={block}")
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        read = parquet.ParquetDataset(at, filesystem=system, partitioning=None).read(["row_no", "token_ids"])
+        for batch in read.to_batches(10_000):
+            for number, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                machine.add_word(tuple(key), (number, len(key)))
+        machine.make_automaton()
+        return machine
+
+    def match(batches):
+        held, machine = None, None
+        for batch in batches:
+            own, ids, block = (batch.column(c) for c in range(3))
+            at, end, start, number = [], [], [], []
+
+            def found():
+                return pa.RecordBatch.from_arrays([own.take(pa.array(at, pa.int32())), pa.array(end, pa.int32()), pa.array(start, pa.int32()), pa.array(number, pa.int64())], names=[id_col, "end", "start", "row_no"])
+
+            for k in range(batch.num_rows):
+                if block[k].as_py() != held:
+                    held = block[k].as_py()
+                    machine = automaton(held)
+                for e, (key, size) in machine.iter(tuple(NO_ID if x is None else x for x in ids[k].as_py())):
+                    at.append(k), end.append(e), start.append(e - size + 1), number.append(key)
+                    if len(at) == HIT_ROWS:
+                        yield found()
+                        at, end, start, number = [], [], [], []
+            if at:
+                yield found()
+
+    texts = tokens.where(F.size("ids") > 0).select(id_col, F.col("ids").cast("array<bigint>").alias("ids"))
+    texts = texts.withColumn("_block", F.lit(0)) if blocks == 1 else texts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).sortWithinPartitions("_block")
+    schema = StructType([tokens.schema[id_col], *StructType.fromDDL("end int, start int, row_no bigint")])
+    return texts.mapInArrow(match, schema)
+
+
+def resolve_suffixes(tokens: DataFrame, addresses: DataFrame, id_col: str, max_span: int | None = None, block_keys: int = AUTOMATON_KEYS) -> DataFrame:
+    """Token-level form: the longest of all addresses whose ids end at a position.
+
+    With ``max_span``, addresses of more ids are left out.
 
     ``tokens(id, ids)``; a suffix that starts the text matches 'bos' addresses,
     any other 'internal' ones.  The longest word order wins, whatever its token
     length; within it the most frequent, then the lowest row; order one keeps
     all its senses.  Returns (id, end, start, word_order, row_index, sense_id).
+    Null or empty ids have no rows; a null inside them matches no address.
     """
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda e: e)).alias("end")
-    ends = tokens.where(F.size("ids") > 0).select(id_col, "ids", at)
-    if max_span is None:
-        lengths = addresses.agg(F.collect_set(F.size("token_ids")).alias("_lengths"))
-        spans_ = ends.join(F.broadcast(lengths)).select(id_col, "ids", "end", F.explode(F.filter("_lengths", lambda n: (n > 0) & (n <= F.col("end") + 1))).alias("token_length"))
+    spark = tokens.sparkSession
+    path = scratch_folder(spark, "keys")
+    use = addresses if max_span is None else addresses.where(F.size("token_ids") <= max_span)
+    use = use.select("boundary_mode", F.col("token_ids").cast("array<bigint>").alias("token_ids"), "word_order", "row_index", "frequency", "surface_text", "sense_id")
+    use.write.parquet(f"{path}/addresses")
+    use = spark.read.schema(use.schema).parquet(f"{path}/addresses")
+    blocks = stored_keys(use, f"{path}/numbered", block_keys)
+    named = use.limit(0).withColumn("row_no", F.lit(0).cast("long"))
+    found = tokens.limit(0).select(id_col, F.lit(0).alias("end"), F.lit(0).alias("start"), F.lit(0).cast("long").alias("row_no"))
+    if blocks:
+        named = use.join(spark.read.parquet(f"{path}/numbered/blocks").select("token_ids", "row_no"), "token_ids")
+        found = key_hits(tokens, id_col, f"{path}/numbered", blocks)
+    found = found.withColumn("boundary_mode", F.when(F.col("start") == 0, "bos").otherwise("internal"))
+    named, keys = named.drop("token_ids"), ["boundary_mode", "row_no"]
+    if use.count() <= BROADCAST_ADDRESSES:
+        hits = found.join(F.broadcast(named), keys)
     else:
-        spans_ = ends.select(id_col, "ids", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_span), F.col("end") + 1))).alias("token_length"))
-    start = F.col("end") - F.col("token_length") + 1
-    keys = spans_.select(id_col, "end", start.alias("start"), F.when(start == 0, "bos").otherwise("internal").alias("boundary_mode"), F.slice("ids", start + 1, F.col("token_length")).alias("token_ids"))
-    hits = keys.join(addresses.select("boundary_mode", "token_ids", "word_order", "row_index", "frequency", "surface_text", "sense_id"), ["boundary_mode", "token_ids"])
+        found = found.withColumn("_salt", F.pmod(F.xxhash64(id_col, "end"), F.lit(HIT_SALTS)).cast("int"))
+        hits = found.join(named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HIT_SALTS - 1)))), [*keys, "_salt"])
     order = Window.partitionBy(id_col, "end").orderBy(F.desc("word_order"), F.desc("frequency"), "row_index", "surface_text")
     top = F.first("word_order").over(order)
     ranked = hits.withColumn("top", top).withColumn("r", F.row_number().over(order))

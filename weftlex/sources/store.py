@@ -28,7 +28,8 @@ MANIFEST = "shard_index bigint, name string, records bigint, width int, shard_ro
 Loader = Callable[[str], bytes]
 
 
-def _located(path: str):
+def located(path: str):
+    """(file system, path in it) of a path or URI; a bare path is local."""
     from pyarrow import fs
 
     if "://" not in path and path.startswith("file:"):
@@ -38,14 +39,14 @@ def _located(path: str):
 
 def load_bytes(path: str) -> bytes:
     """The bytes of one file of any file system that Arrow knows: the default loader."""
-    system, at = _located(path)
+    system, at = located(path)
     with system.open_input_stream(at) as f:
         return f.read()
 
 
 def replace_bytes(path: str, data: bytes) -> None:
     """Write a file so that readers see the old one or the new one: a name of its own first, then one rename."""
-    system, at = _located(path)
+    system, at = located(path)
     own = f"{at}.{uuid.uuid4().hex}.tmp"
     system.create_dir(at.rsplit("/", 1)[0], recursive=True)
     with system.open_output_stream(own) as f:
