@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import vectors as V
+from . import passing as P
 
 #: Most distinct forms of requests that are broadcast.
 FORMS = 20_000
@@ -16,15 +22,83 @@ def cosines(v: Column, anchors: Column) -> Column:
     return V.let(V.l2_normalize(v), lambda q: F.transform(anchors, lambda a: V.dot(V.l2_normalize(a), q)))
 
 
+def _chosen(q: np.ndarray, fit: np.ndarray | None, path: str, k: int) -> list[P.Least]:
+    """For each ``P.OWN`` rows of unit vectors the k stored anchors of largest cosine in magnitude, ties to the lower index."""
+    parts = [(at, q[at : at + P.OWN], P.Least(len(q[at : at + P.OWN]), k)) for at in range(0, len(q), P.OWN)]
+    for index, rows in P.chunks(path, ["index", "unit"]):
+        for at, own, best in parts:
+            near = -np.abs(own @ rows.T)
+            if fit is not None:
+                near[~fit[at : at + len(own)][:, index]] = np.inf
+            i, j = best.wanted(near, np.full(len(own), 1e-12))
+            s = P.products(rows[j], own[i])
+            best.add(i, -np.abs(s), index[j], s)
+    return [best for _, _, best in parts]
+
+
+def _weights(best: P.Least, n: int, epsilon: float) -> np.ndarray:
+    place, mass = best.places(), np.zeros(n)
+    for p in range(best.k):
+        mass[best.own[place == p]] += np.abs(best.value[place == p])
+    return best.value / (mass[best.own] + epsilon)
+
+
+def _split(states: DataFrame, keys: list[str], v: str, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(keys, _v, more) of the states that are vectors, and the keys of those that are null or hold one."""
+    df = states.select(*keys, F.transform(v, lambda x: x.cast("double")).alias("_v"), *more)
+    whole = F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull())
+    return P.dealt(df.where(whole)), df.where(~whole).select(*keys)
+
+
 def signed_routes(states: DataFrame, keys: list[str], v: str, anchors: DataFrame, k: int, valid: str | None = None) -> DataFrame:
-    """(keys, position, index, weight) of the k anchors of largest cosine in magnitude.
+    """(keys, position, index, weight) of the k anchors of largest cosine in magnitude, ties to the lower index.
 
-    ``anchors(index, v)`` is a parameter table with dense indexes, one array once collected.
+    ``anchors(index, v)`` have dense indexes; they are stored once and pass
+    every task in chunks.  ``valid`` is an array of one flag for each anchor.  A
+    state that is null, or holds a null, gets the first k anchors without weight.
     """
-    rows = anchors.agg(F.transform(F.sort_array(F.collect_list(F.struct("index", "v"))), lambda x: x["v"]).alias("_anchors"))
-    df = states.join(F.broadcast(rows), F.lit(True))
-    top = V.signed_top_k(cosines(F.col(v), F.col("_anchors")), k, F.col(valid) if valid else None)
-    return df.select(*keys, F.posexplode(top).alias("position", "r")).select(*keys, "position", "r.index", "r.weight")
+    path, n = _stored(anchors.select("index", F.col("v").alias("alpha"))), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at, best in _routed(batches, n, path, k, valid is not None):
+            out = [*(part.column(c).take(pa.array(best.own + at)) for c in range(n)), pa.array(best.places(), pa.int32()), pa.array(best.tie, pa.int32()), pa.array(_weights(best))]
+            yield pa.RecordBatch.from_arrays(out, names=[*keys, "position", "index", "weight"])
+
+    schema = StructType([*(states.schema[c] for c in keys), *StructType.fromDDL("position int, index int, weight double")])
+    flags = [F.transform(valid, lambda x: F.coalesce(x, F.lit(False))).alias("_fit")] if valid else []
+    whole, rest = _split(states, keys, v, *flags)
+    first = anchors.select(F.col("index").cast("int").alias("index")).orderBy("index").limit(k).withColumn("position", F.col("index"))
+    return whole.mapInArrow(run, schema).unionByName(rest.join(F.broadcast(first), F.lit(True)).withColumn("weight", F.lit(None).cast("double")))
+
+
+def _stored(anchors: DataFrame) -> str:
+    """Anchors (index, alpha, more) in the shared folder with ``unit``, alpha at unit length."""
+    numbers = [F.transform(c, lambda x: x.cast("double")).alias(c) for c in anchors.columns if c != "index"]
+    return P.stored(anchors.select(F.col("index").cast("long").alias("index"), *numbers, V.l2_normalize(F.col("alpha")).alias("unit")), "anchors")
+
+
+def _routed(batches: Iterator[pa.RecordBatch], n: int, path: str, k: int, flagged: bool = False) -> Iterator[tuple[pa.RecordBatch, int, P.Least]]:
+    """For each ``P.OWN`` rows of vectors (column ``n``): their batch, their place in it, and the k anchors of each."""
+    for batch in batches:
+        q, fit = P.unit(P.matrix(batch.column(n))), P.matrix(batch.column(n + 1)) if flagged else None
+        parts = [(at, P.Least(len(q[at : at + P.OWN]), k)) for at in range(0, len(q), P.OWN)]
+        for index, rows in P.chunks(path, ["index", "unit"]):
+            for at, best in parts:
+                own = q[at : at + P.OWN]
+                near = -np.abs(own @ rows.T)
+                if flagged:
+                    near[~fit[at : at + P.OWN][:, index]] = np.inf
+                i, j = best.wanted(near, np.full(len(own), 1e-12))
+                s = P.products(rows[j], own[i])
+                best.add(i, -np.abs(s), index[j], s)
+        yield from ((batch, at, best) for at, best in parts)
+
+
+def _weights(best: P.Least, epsilon: float = 1e-6) -> np.ndarray:
+    """As vectors.signed_top_k(): the scores over the sum of their magnitudes."""
+    mass = np.zeros(len(best.edge))
+    np.add.at(mass, best.own, np.abs(best.value))  # in order of place
+    return best.value / (mass[best.own] + epsilon)
 
 
 def low_rank_update(routes: DataFrame, states: DataFrame, keys: list[str], v: str, factors: DataFrame) -> DataFrame:
@@ -38,11 +112,31 @@ def low_rank_update(routes: DataFrame, states: DataFrame, keys: list[str], v: st
 def direction_update(states: DataFrame, keys: list[str], v: str, directions: DataFrame, k: int) -> DataFrame:
     """(keys, update): the response along each of the k chosen directions, weighted, mapped back.
 
-    ``directions(index, alpha, beta)``: unit read directions are scored, raw ones respond.
+    ``directions(index, alpha, beta)``: unit read directions are scored, raw ones
+    respond.  They pass every task in chunks, once to be chosen and once to respond.
     """
-    routes = signed_routes(states, keys, v, directions.select("index", F.col("alpha").alias("v")), k)
-    factors = directions.select("index", F.array("alpha").alias("a"), F.transform("beta", lambda x: F.array(x)).alias("b"))
-    return low_rank_update(routes, states, keys, v, factors)
+    path, n = _stored(directions.select("index", "alpha", "beta")), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at, best in _routed(batches, n, path, k):
+            v, weight = P.matrix(part.column(n).slice(at, len(best.edge))), _weights(best)
+            moved = np.zeros((len(best.own), 0))
+            for index, alpha, beta in P.chunks(path, ["index", "alpha", "beta"]):
+                order = np.argsort(index)
+                j = order[np.minimum(np.searchsorted(index, best.tie, sorter=order), len(index) - 1)]
+                hit = np.flatnonzero(index[j] == best.tie)
+                moved = moved if moved.shape[1] else np.zeros((len(best.own), beta.shape[1]))
+                moved[hit] = beta[j[hit]] * P.products(alpha[j[hit]], v[best.own[hit]])[:, None] * weight[hit, None]
+            rows = np.unique(best.own)
+            update, place = np.zeros((len(best.edge), moved.shape[1])), best.places()
+            for p in range(k):
+                update[best.own[place == p]] += moved[place == p]
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * moved.shape[1])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows + at)) for c in range(n)), pa.ListArray.from_arrays(ends, pa.array(update[rows].ravel()))], names=[*keys, "update"])
+
+    whole, rest = _split(states, keys, v)
+    schema = StructType([*(states.schema[c] for c in keys), *StructType.fromDDL("update array<double>")])
+    return whole.mapInArrow(run, schema).unionByName(rest.withColumn("update", F.lit(None).cast("array<double>")))
 
 
 def route_experts(experts: DataFrame, requests: DataFrame, limit: int = 8) -> DataFrame:
