@@ -87,7 +87,7 @@ def mesh_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as a stream of one batch; of equal texts the smallest id counts, whichever row came first."""
     path = _folder(spark)
-    docs = stream.document_stream(spark, sf_dir, "doc_id bigint, text string", pattern="documents.parquet")
+    docs = stream.document_stream(spark, f"{sf_dir}/documents.parquet", "doc_id bigint, text string")
     stream.write_once(stream.deduplicated(docs).select("digest"), f"{path}/out", f"{path}/state").awaitTermination()
     kept = spark.read.parquet(f"{path}/out")
     ids = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id").join(kept, "digest").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
@@ -97,7 +97,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT text, count(*) AS frequency FROM ({_sql_ngrams(2)}) GROUP BY text")
 def stream_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
-    docs = stream.document_stream(spark, sf_dir, "doc_id bigint, text string", pattern="documents.parquet")
+    docs = stream.document_stream(spark, f"{sf_dir}/documents.parquet", "doc_id bigint, text string")
     stream.partial_counts(docs, 2, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("text").agg(F.sum("frequency").alias("frequency"))
 

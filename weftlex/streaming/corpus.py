@@ -25,7 +25,11 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def document_stream(spark: SparkSession, folder: str, schema: str, files: int | None = None, pattern: str = "*.parquet") -> DataFrame:
-    """Rows of the Parquet files that arrive in a folder."""
+    """Rows of the Parquet files that arrive in a folder; of a path that is one file, its rows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and fs.getFileStatus(at).isFile():
+        folder, pattern = at.getParent().toString(), at.getName()  # a stream's source is a folder
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
