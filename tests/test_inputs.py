@@ -33,3 +33,20 @@ def test_open_references_stay_text_in_pages(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     got = plans.QUERIES["clean_pages"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.collect()) == sorted(con.sql(plans.SQL["clean_pages"]).fetchall())
+
+
+def test_alignment_gives_words_in_bounded_batches(spark):
+    import pyarrow as pa
+    from weftlex.operators import align
+
+    class Docs:
+        schema = spark.createDataFrame([], "id long, text string").schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    run = align.aligned(Docs(), "id")
+    texts = ["one two three"] * 5000 + [None, "last"]
+    out = list(run(iter([pa.record_batch({"id": list(range(len(texts))), "text": texts})])))
+    assert max(b.num_rows for b in out) <= 4200 and sum(b.num_rows for b in out) == 15001
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["surface"] for r in rows[3:6]] == ["one", "two", "three"] and rows[-1]["id"] == 5001 and rows[5]["id"] == 1

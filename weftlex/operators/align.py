@@ -38,6 +38,9 @@ def word_spans(text: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+#: Words of one output batch, whatever the texts of an input batch hold.
+WORD_ROWS = 4096
+
 Encode = Callable[[str], list[tuple[int, int, int]]]
 
 
@@ -51,7 +54,8 @@ def aligned(docs: DataFrame, id_col: str, text: str = "text", encode: Encode = e
 
     ``encode`` gives the tokens of a whole text in order, with character
     offsets.  Words and tokens are both in order, so one pass over the two finds
-    the overlaps; nothing is shuffled.  A word that no token overlaps raises; a
+    the overlaps; nothing is shuffled, and a task holds the tokens of one text and
+    ``WORD_ROWS`` words.  A word that no token overlaps raises; a
     null text has no words.
     """
     kind = docs.schema[id_col].dataType
@@ -62,6 +66,13 @@ def aligned(docs: DataFrame, id_col: str, text: str = "text", encode: Encode = e
 
         word = regex.compile(pattern)
         schema = None
+
+        def made(batch: pa.RecordBatch, out: list[list]) -> pa.RecordBatch:
+            nonlocal schema
+            types = [batch.column(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+            schema = schema or pa.schema(list(zip([id_col, *_ALIGNED], types, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], schema=schema)
+
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for key, cell in zip(batch.column(0), batch.column(1), strict=True):
@@ -79,9 +90,10 @@ def aligned(docs: DataFrame, id_col: str, text: str = "text", encode: Encode = e
                     own = tokens[lo:hi]
                     for k, x in enumerate((key.as_py(), ordinal, m[0], a, b, list(range(lo, hi)), [t[0] for t in own], [[t[1] - a, t[2] - a] for t in own])):
                         out[k].append(x)
-            types = [batch.column(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
-            schema = schema or pa.schema(list(zip([id_col, *_ALIGNED], types, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], schema=schema)
+                    if len(out[0]) == WORD_ROWS:
+                        yield made(batch, out)
+                        out = [[] for _ in range(8)]
+            yield made(batch, out)
 
     shape = f"`{id_col}` {kind.simpleString()}, ordinal int, surface string, start int, end int, positions array<int>, token_ids array<bigint>, relative_offsets array<array<int>>"
     return docs.select(id_col, F.col(text).cast("string").alias("text")).mapInArrow(run, shape)
