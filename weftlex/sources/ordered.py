@@ -184,7 +184,8 @@ def run_in_order(spark: SparkSession, path: str, total: int, state: str, save, r
 
     ``batch`` has the stored columns and ``pos``.  ``save`` must replace what
     it wrote for the same id before: a run that broke off repeats its last
-    batch with the same rows.  Only the blocks that a batch needs are read.
+    batch with the same rows.  Only the blocks that a batch needs are read:
+    their numbers are found first, and there are at most as many as rows.
     """
     spark.dataSource.register(BufferOrder)
     if not total:
@@ -193,8 +194,9 @@ def run_in_order(spark: SparkSession, path: str, total: int, state: str, save, r
 
     def give(batch: DataFrame, batch_id: int) -> None:
         wanted = batch.withColumn("block", F.floor(F.col("row_no") / block_rows).cast(blocks.schema["block"].dataType))
+        needed = [r.block for r in wanted.select("block").distinct().collect()]
         wanted = F.broadcast(wanted) if rows <= BROADCAST_POSITIONS else wanted
-        save(blocks.join(wanted, ["block", "row_no"]).drop("block", "row_no"), batch_id)
+        save(blocks.where(F.col("block").isin(needed)).join(wanted, ["block", "row_no"]).drop("block", "row_no"), batch_id)
         batch.agg((F.max("pos") + 1).alias("rows_seen")).write.mode("overwrite").parquet(f"{state}/progress/batch={batch_id}")
 
     done = progress(spark, state).agg(F.max("rows_seen")).first()[0] or 0
