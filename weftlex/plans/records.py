@@ -218,8 +218,10 @@ def phrase_key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase keys in a folder for each order, read back and checked."""
     folder, docs = _folder(spark), table(spark, sf_dir, "documents")
     top = lambda n: C.top_ranked(C.ngram_counts(docs, n), n, 200)
-    files.write_phrase_keys(top(2).unionByName(top(3)).withColumn("row_index", F.col("rank") - 1), folder)
-    read = files.read_jsonl(spark, folder, files.KEYS).select("text", "frequency", "n", "rank", "row_index")
+    keys = top(2).unionByName(top(3)).withColumn("row_index", F.col("rank") - 1)
+    keys.write.parquet(f"{folder}/ranked")  # the ranges of the sort are sampled from these few rows, not from all documents
+    files.write_phrase_keys(spark.read.schema(keys.schema).parquet(f"{folder}/ranked"), f"{folder}/keys")
+    read = files.read_jsonl(spark, f"{folder}/keys", files.KEYS).select("text", "frequency", "n", "rank", "row_index")
     return X.checked_keys(read.where("n = 2"), 2).unionByName(X.checked_keys(read.where("n = 3"), 3))
 
 
