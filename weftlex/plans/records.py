@@ -133,7 +133,7 @@ def known_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranked table as JSON lines, then the first ranks of what is read back."""
     folder = _folder(spark)
-    files.write_ranked(C.top_ranked(C.ngram_counts(table(spark, sf_dir, "documents"), 2), 2, 100), folder)
+    files.write_ranked(C.top_ngrams(table(spark, sf_dir, "documents"), {2: 100}), folder)
     return files.top_rows(files.read_jsonl(spark, folder, files.NGRAM), 2, 50)
 
 
@@ -217,8 +217,7 @@ def collision_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase keys in a folder for each order, read back and checked."""
     folder, docs = _folder(spark), table(spark, sf_dir, "documents")
-    top = lambda n: C.top_ranked(C.ngram_counts(docs, n), n, 200)
-    keys = top(2).unionByName(top(3)).withColumn("row_index", F.col("rank") - 1)
+    keys = C.top_ngrams(docs, {2: 200, 3: 200}).withColumn("row_index", F.col("rank") - 1)
     keys.write.parquet(f"{folder}/ranked")  # the ranges of the sort are sampled from these few rows, not from all documents
     files.write_phrase_keys(spark.read.schema(keys.schema).parquet(f"{folder}/ranked"), f"{folder}/keys")
     read = files.read_jsonl(spark, f"{folder}/keys", files.KEYS).select("text", "frequency", "n", "rank", "row_index")
