@@ -75,3 +75,32 @@ def test_banks_are_counted_once(spark, sf_dir):
 
     plan = surface.address_table(spark, sf_dir)._jdf.queryExecution().analyzed().toString()
     assert "documents.parquet" not in plan and "regexp_extract_all" not in plan.lower()
+
+
+def test_fields_of_unequal_groups_are_those_of_each_pair(spark, many):
+    from pyspark.sql import functions as F
+
+    from weftlex.functions import vectors as V
+    from weftlex.operators import geometry
+
+    rows = [(i, None if i % 97 == 0 else int(i % 11 == 0), [float(x) for x in m]) for i, m in enumerate(many[:900])]
+    rows += [(900, 5, [1.0] * 64), (901, 0, None), (902, 1, [None] * 64)]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>").withColumnRenamed("g", "group")
+    senses = df.where("id % 9 = 0 AND id < 900").select("group", "v")
+    listed = senses.groupBy("group").agg(F.collect_list(F.struct(F.lit(0).alias("row"), "v")).alias("s"))
+    want = {r.id: r for r in df.where("id < 901").join(listed, "group").select("id", F.size("s").alias("n"), geometry.definition_field(F.col("v"), F.col("s")).alias("f")).select("id", "n", V.total(F.col("f.weights")).alias("mass"), F.array_min("f.distances").alias("nearest"), "f.movement").collect()}
+    found = geometry.definition_fields(df, senses)
+    got = {r.id: r for r in found.collect()}
+    assert set(got) == set(want) | {901, 902} and len(want) > 800 and got[901].senses == want[1].n and got[902].mass is None and got[901].movement is None
+    for i, w in want.items():
+        assert got[i].senses == w.n and got[i].mass == pytest.approx(w.mass, abs=1e-12) and got[i].nearest == pytest.approx(w.nearest, rel=1e-9, abs=1e-15)
+        assert np.abs(np.array(got[i].movement) - w.movement).max() < 1e-9
+    unfit = geometry.definition_fields(df.where("id < 5"), spark.createDataFrame([(0, None), (1, [1.0] * 64)], "group int, v array<double>")).collect()
+    assert {(r.id, r.senses, r.mass is None) for r in unfit} == {(i, 1, True) for i in range(1, 5)}
+
+
+def test_definition_field_lists_no_group(spark, sf_dir):
+    from weftlex import plans
+
+    plan = plans.QUERIES["definition_field"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" not in plan

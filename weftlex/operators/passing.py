@@ -13,6 +13,8 @@ from ..sources.store import located
 
 #: Stored rows that pass at a time, and own rows that meet them in one matrix product.
 CHUNK, OWN = 4096, 1024
+#: Near pairs measured at a time.
+PAIRS = 1 << 16
 
 
 def stored(vectors: DataFrame, name: str) -> str:
@@ -69,6 +71,17 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def all_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs of rows by a matrix product; those of near pairs, where it cancels, in array order."""
+    sizes = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    out = sizes - 2 * (a @ b.T)
+    i, j = np.nonzero(out < 1e-3 * sizes)
+    for k in range(0, len(i), PAIRS):
+        x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+        out[x, y] = distances(a[x], b[y])
+    return np.maximum(out, 0, out=out)
+
+
 class Least:
     """The k rows of least (key, tie) for each of n own rows, from candidates given chunk by chunk.
 

@@ -115,9 +115,9 @@ SELECT k AS vec_id, count(*) AS senses, {_r('sum(w)')} AS mass, {_r('min(s)')} A
 )
 def definition_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    senses = v.where("vec_id % 50 = 0").groupBy("label").agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id").alias("row"), "v"))).alias("senses"))
-    df = v.where("vec_id % 50 <> 0").join(senses, "label").select("vec_id", F.size("senses").cast("long").alias("n"), G.definition_field(F.col("v"), F.col("senses")).alias("f"))
-    return df.select("vec_id", F.col("n").alias("senses"), V.tidy(V.total(F.col("f.weights"))).alias("mass"), V.tidy(F.array_min("f.distances")).alias("nearest"), V.tidy(F.sqrt(V.sum_squares(F.col("f.movement")))).alias("movement"))
+    states = v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), "v")
+    df = G.definition_fields(states, v.where("vec_id % 50 = 0").select(F.col("label").alias("group"), "v"))
+    return df.select(F.col("id").alias("vec_id"), "senses", V.tidy(F.col("mass")).alias("mass"), V.tidy(F.col("nearest")).alias("nearest"), V.tidy(F.sqrt(V.sum_squares(F.col("movement")))).alias("movement"))
 
 
 @query(
