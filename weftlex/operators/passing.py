@@ -98,7 +98,13 @@ class Least:
         edge = self.edge
         if near.shape[1] > self.k and np.isinf(edge).any():
             edge = np.minimum(edge, np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + slack)
-        return np.nonzero((near <= (edge + slack)[:, None]) & (near < np.inf))
+        bound = (edge + slack).astype(near.dtype)
+        if near.dtype != edge.dtype:
+            bound = np.nextafter(bound, np.array(np.inf, near.dtype))
+        hit = near <= bound[:, None]
+        if np.isinf(bound).any():
+            hit &= near < np.inf
+        return np.divmod(np.flatnonzero(hit), near.shape[1])  # far faster than nonzero() of two dimensions
 
     def add(self, own: np.ndarray, key: np.ndarray, tie: np.ndarray, value: np.ndarray) -> None:
         if not len(own):
