@@ -100,6 +100,40 @@ def test_checkpointed_counts(spark, tmp_path):
         stream.checkpointed_counts(docs, ["k"], 3, path, rows=60, keys=50, buffer=20)
 
 
+def test_checkpoints_deal_their_documents_evenly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "DEALT_ROWS", 10)
+    docs = spark.range(400).select(F.col("id").alias("k"), F.concat_ws(" ", *(F.concat(F.lit(f"w{j}x"), F.col("id") % 37) for j in range(11))).alias("text"))
+    got = stream.checkpointed_counts(docs.repartition(1), ["k"], 2, f"file://{tmp_path}/c", rows=100, buffer=20)
+    assert got.agg(F.sum("frequency")).first()[0] == 4000 and got.count() == 370
+    for batch in range(4):  # each of four tasks has counted 25 documents: n-grams are not shuffled for a checkpoint
+        parts = glob.glob(f"{tmp_path}/c/partials/batch={batch}/*.parquet")
+        assert [sum(pq.read_table(p, columns=["frequency"])["frequency"].to_pylist()) for p in parts] == [250] * 4
+    assert not glob.glob(f"{tmp_path}/c/order/blocks") and not glob.glob(f"{tmp_path}/c/order/sorted")  # stored once, and dropped
+
+
+def test_a_batch_reads_only_its_files(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("k"))
+    path, read = f"file://{tmp_path}/order", []
+    total = ordered.write_order(docs, ["k"], path, block_rows=50, partitions=4)
+
+    def save(batch, batch_id):
+        read.append(len(batch.inputFiles()))
+        assert batch.count() == 100
+
+    ordered.run_in_order(spark, path, total, f"{path}/state", save, rows=100, buffer=20, block_rows=50)
+    assert len(glob.glob(f"{tmp_path}/order/sorted/*.parquet")) >= 40 and len(read) == 20 and max(read) <= 10
+
+
+def test_equal_and_null_keys_over_several_files(spark, tmp_path):
+    rows = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    path = f"file://{tmp_path}/order"
+    assert ordered.write_order(rows, ["k"], path, block_rows=7, partitions=3) == 300
+    ordered.run_in_order(spark, path, 300, f"{path}/state", lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), rows=70, buffer=1)
+    got = spark.read.parquet(f"{path}/out").orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(300)) and sorted(r.v for r in got) == list(range(300))
+    assert [r.k for r in got] == [None] * 100 + [1] * 100 + [2] * 100  # a buffer of one keeps the order
+
+
 def _records(spark, n: int):
     return spark.range(n).select(F.col("id").alias("row_index"), F.unhex(F.md5(F.col("id").cast("string"))).alias("record"))
 

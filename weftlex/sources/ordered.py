@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.query import StreamingQuery
 
+from .scratch import shuffles_dropped
+
 # The default seed, slots of the buffer, and rows between two checkpoints.
 SEED, BUFFER, CHECKPOINT_ROWS = 42, 10_000, 25_000
 #: Arithmetic of the slots: a line and two squares modulo a prime; no product reaches 2**62.
 PRIME, STEP, SEED_STEP = 2_147_483_647, 48_271, 69_621
-#: Rows of one block of a stored order; a batch reads the blocks that it needs.
+#: Most rows of one file of a stored order; a batch reads the files that it needs.
 BLOCK_ROWS = 50_000
 #: Positions given by one task.
 TASK_ROWS = 10_000
 #: Positions of one batch that are broadcast (24 bytes each).
 BROADCAST_POSITIONS = 1_000_000
+#: Index of the files of a stored order.
+FILES = "file string, start bigint, n bigint"
 
 
 def mixed(i, seed: int):
@@ -149,22 +153,42 @@ class _OrderReader(DataSourceStreamReader):
 
 
 def write_order(rows: DataFrame, order: list[str], path: str, block_rows: int = BLOCK_ROWS, partitions: int | None = None) -> int:
-    """Store ``rows`` in the order of columns that identify a row, with dense ``row_no``, in blocks; returns the row count.
+    """Store ``rows`` once, in the order of columns that identify a row, in files of at most ``block_rows``; returns the row count.
 
-    The sorted files are written first and numbered after: a row's number is
-    its place in its file and what the files before it hold, so a task that
-    runs again numbers alike.  One row a file is broadcast.
+    A row's dense number is its place in its file and what the files before it
+    hold: ``files`` keeps where each starts.  It is written last, so an order
+    that has it is whole.  The rows pass one shuffle, which goes when they are stored.
     """
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/sorted")
-    found = spark.read.schema(rows.schema).parquet(f"{path}/sorted").withColumns({"_file": F.col("_metadata.file_name"), "row_no": F.col("_metadata.row_index")})
-    files = found.groupBy("_file").agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_low"))
-    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    files = files.select("_file", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = found.join(F.broadcast(files.drop("_n")), "_file").withColumn("row_no", F.col("_start") + F.col("row_no")).drop("_file", "_start")
-    numbered.withColumn("block", F.floor(F.col("row_no") / block_rows)).write.partitionBy("block").mode("overwrite").parquet(f"{path}/blocks")
-    return spark.read.schema(rows.schema).parquet(f"{path}/sorted").count()
+    with shuffles_dropped(spark):
+        ranged.sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", block_rows).parquet(f"{path}/sorted")
+    found = spark.read.schema(rows.schema).parquet(f"{path}/sorted").select(F.col("_metadata.file_name").alias("file"), F.struct(*order).alias("_key"))
+    files = found.groupBy("file").agg(F.count("*").alias("n"), F.min("_key").alias("_low"), F.max("_key").alias("_high"))
+    before = Window.orderBy("_low", "_high", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n").write.mode("overwrite").parquet(f"{path}/files")
+    return stored_rows(spark, path)
+
+
+def stored_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a stored order."""
+    return spark.read.schema(FILES).parquet(f"{path}/files").agg(F.sum("n")).first()[0] or 0
+
+
+def write_blocks(rows: DataFrame, order: list[str], path: str, block_rows: int) -> int:
+    """As write_order(), and the rows once more with their dense ``row_no``, a folder for each ``block_rows`` numbers."""
+    spark = rows.sparkSession
+    total = write_order(rows, order, path, block_rows)
+    found = spark.read.schema(rows.schema).parquet(f"{path}/sorted")
+    numbered(found, spark.read.schema(FILES).parquet(f"{path}/files")).withColumn("block", F.floor(F.col("row_no") / block_rows)).write.partitionBy("block").mode("overwrite").parquet(f"{path}/blocks")
+    return total
+
+
+def numbered(stored: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored rows with ``row_no``.  One row a file is broadcast."""
+    placed = stored.withColumns({"_file": F.col("_metadata.file_name"), "row_no": F.col("_metadata.row_index")})
+    begins = files.select(F.col("file").alias("_file"), F.col("start").alias("_start"))
+    return placed.join(F.broadcast(begins), "_file").withColumn("row_no", F.col("_start") + F.col("row_no")).drop("_file", "_start")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -184,22 +208,39 @@ def run_in_order(spark: SparkSession, path: str, total: int, state: str, save, r
 
     ``batch`` has the stored columns and ``pos``.  ``save`` must replace what
     it wrote for the same id before: a run that broke off repeats its last
-    batch with the same rows.  Only the blocks that a batch needs are read:
-    their numbers are found first, and there are at most as many as rows.
+    batch with the same rows.  Only the files that a batch needs are read: the
+    driver finds them by arithmetic, and there are at most as many as rows.
+    Files are found by their index, whatever ``block_rows`` they were cut by.
+    The shuffles of a batch go when it is saved.
     """
-    spark.dataSource.register(BufferOrder)
-    if not total:
+    done = progress(spark, state).agg(F.max("rows_seen")).first()[0] or 0
+    if done >= total:
         return
-    blocks = spark.read.parquet(f"{path}/blocks")
+    spark.dataSource.register(BufferOrder)
+    files = spark.read.schema(FILES).parquet(f"{path}/files").orderBy("start").collect()  # one row for each file
+    starts, schema = np.array([f.start for f in files], np.int64), spark.read.parquet(f"{path}/sorted").schema
+
+    def holding(first: int, end: int) -> list:
+        """The files that hold the rows at these positions."""
+        held: set[int] = set()
+        for a in range(first, end, TASK_ROWS):
+            held.update((np.searchsorted(starts, rows_at(a, min(a + TASK_ROWS, end), total, buffer, seed), "right") - 1).tolist())
+        return [files[k] for k in sorted(held)]
 
     def give(batch: DataFrame, batch_id: int) -> None:
-        wanted = batch.withColumn("block", F.floor(F.col("row_no") / block_rows).cast(blocks.schema["block"].dataType))
-        needed = [r.block for r in wanted.select("block").distinct().collect()]
-        wanted = F.broadcast(wanted) if rows <= BROADCAST_POSITIONS else wanted
-        save(blocks.where(F.col("block").isin(needed)).join(wanted, ["block", "row_no"]).drop("block", "row_no"), batch_id)
-        batch.agg((F.max("pos") + 1).alias("rows_seen")).write.mode("overwrite").parquet(f"{state}/progress/batch={batch_id}")
+        session = batch.sparkSession  # the stream's own
+        batch = batch.persist()
+        try:
+            first, end = batch.agg(F.min("pos"), F.max("pos") + 1).first()
+            needed = holding(first, end)
+            stored = session.read.schema(schema).parquet(*(f"{path}/sorted/{f.file}" for f in needed))
+            wanted = F.broadcast(batch) if rows <= BROADCAST_POSITIONS else batch
+            with shuffles_dropped(session):
+                save(numbered(stored, session.createDataFrame(needed, FILES)).join(wanted, "row_no").drop("row_no"), batch_id)
+        finally:
+            batch.unpersist()
+        session.range(0, 1, 1, 1).select(F.lit(end).cast("long").alias("rows_seen")).write.mode("overwrite").parquet(f"{state}/progress/batch={batch_id}")
 
-    done = progress(spark, state).agg(F.max("rows_seen")).first()[0] or 0
     options = {"total": total, "from": done, "rows": rows, "buffer": buffer, "seed": seed}
     stream = spark.readStream.format("buffer_order").options(**{k: str(v) for k, v in options.items()}).load()
     query: StreamingQuery = stream.writeStream.foreachBatch(give).option("checkpointLocation", f"{state}/stream").start()

@@ -15,12 +15,14 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import text as T
 from ..operators.align import word_units
-from ..operators.corpus import ngram_counts
 from ..sources import ordered
 from ..sources.files import fingerprint
+from ..sources.scratch import delete
 
 #: N-grams of one partial table (a fixed value for order two).
 PARTIAL_KEYS = 10_000_000
+#: Fewest documents of a checkpoint that are dealt to one task.
+DEALT_ROWS = 1_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -79,22 +81,30 @@ def partial_counts(stream: DataFrame, n: int, path: str, checkpoint: str, text:
 def checkpointed_counts(docs: DataFrame, order: list[str], n: int, path: str, rows: int = ordered.CHECKPOINT_ROWS, keys: int = PARTIAL_KEYS, buffer: int = ordered.BUFFER, text: str = "text") -> DataFrame:
     """(text, frequency): exact n-gram counts from partial tables, one set for each ``rows`` documents of the shuffled order.
 
-    A batch's counts are flushed in files of at most ``keys`` n-grams, so a
-    partial never holds more, and what a task holds in memory spills.  Under
-    ``path`` an interrupted run goes on after its last stored batch; a batch
-    that runs again replaces its own partials.  The order is stored once.
+    A batch's documents are dealt evenly over tasks by position, and each task
+    counts its own, so n-grams are shuffled once, for the final sums.  Counts
+    are flushed in files of at most ``keys`` n-grams, so a partial never holds
+    more, and what a task holds in memory spills.  Under ``path`` an
+    interrupted run goes on after its last stored batch; a batch that runs
+    again replaces its own partials.  The order is stored once and goes when
+    all of it is counted.
     """
     spark = docs.sparkSession
     marks = {"n": n, "order": order, "rows": rows, "keys": keys, "buffer": buffer}
     bind(spark, f"{path}/state", marks)
-    if not ordered.exists(spark, f"{path}/order/blocks/_SUCCESS"):
+    if not ordered.exists(spark, f"{path}/order/files/_SUCCESS"):
         ordered.write_order(docs, order, f"{path}/order")
-    total = spark.read.parquet(f"{path}/order/sorted").count()
+    total = ordered.stored_rows(spark, f"{path}/order")
+    parts = max(min(spark.sparkContext.defaultParallelism, -(-rows // DEALT_ROWS)), -(-rows // ordered.TASK_ROWS))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        ngram_counts(batch, n, text).write.mode("overwrite").option("maxRecordsPerFile", keys).option("compression", "zstd").parquet(f"{path}/partials/batch={batch_id}")
+        dealt = batch.select(F.col(text).alias("text"), F.pmod("pos", F.lit(parts)).cast("int").alias("part")).repartitionById(parts, "part")
+        found = dealt.select("part", F.explode(T.ngrams(T.units(F.col("text")), n)).alias("text"))
+        counts = found.groupBy("part", "text").agg(F.count("*").alias("frequency")).drop("part")
+        counts.write.mode("overwrite").option("maxRecordsPerFile", keys).option("compression", "zstd").parquet(f"{path}/partials/batch={batch_id}")
 
     ordered.run_in_order(spark, f"{path}/order", total, f"{path}/state", save, rows, buffer)
+    delete(spark, f"{path}/order/sorted")
     if not total:
         return spark.createDataFrame([], "text string, frequency bigint")
     return spark.read.schema("text string, frequency bigint").parquet(f"{path}/partials").groupBy("text").agg(F.sum("frequency").alias("frequency"))
